@@ -15,8 +15,6 @@ output name (``n_words n_hit items hits``) overwrites the input's column.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

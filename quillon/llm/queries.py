@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mixing, quality, sharding
 
-MODULES = (decontaminate,)
+MODULES = (decontaminate, sharding, quality, mixing)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
