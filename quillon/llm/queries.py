@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, sharding
+from . import decontaminate, mixing, quality, repeats, sharding
 
-MODULES = (decontaminate, sharding, quality, mixing)
+MODULES = (decontaminate, sharding, quality, repeats, mixing)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
