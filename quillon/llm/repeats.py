@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .store import stash
@@ -335,7 +336,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     keep = [c for c in docs.columns if c not in added and not (digest and c == text_col)]
     joined = named.join(info, F.col("text_id") == F.col("_text_id"), "left").select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("from"), (F.octet_length(text_col) - length).alias("to")))).otherwise(F.coalesce("ranges", F.array())).alias("_ranges"))
     schema = joined.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
-    schema = schema.add("kept_sha256", "string") if digest else schema.add("spans", "array<struct<from:bigint,to:bigint>>").add("kept", "binary")
+    schema = schema.add("kept_sha256", "string") if digest else schema.add("spans", T.ArrayType(T.StructType().add("from", "long").add("to", "long"))).add("kept", "binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
