@@ -313,11 +313,16 @@ def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, group_t
     return out.select("doc_id", "class", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """docs without all but the document of least id of each component; documents with empty sets stay."""
-    found = jaccard_classes(docs, n, percent)
+def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """docs without all but the document of least id of each component.
+
+    Documents with empty sets or a null id stay. Of rows with equal id and text one stays.
+    """
+    found = stash(jaccard_classes(docs, n, percent, group_tokens).select("doc_id", "component_id"), "kept")
     gone = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
