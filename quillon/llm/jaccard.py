@@ -82,20 +82,25 @@ def parts_of(high: int, percent: int) -> int:
 
 
 def tokens(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Matrix tokens of each set: their hashes and the set of each."""
+    """Matrix tokens of each set: their hashes and the set of each.
+
+    A frame is ``step`` bands and the next one, so neighbouring bands share a frame; a set is in one frame or, in a band
+    that two frames share, in two. Its parts are those of the frame's largest size.
+    """
     size = np.diff(bounds)
-    edges = np.array(bands(percent, 2 * int(size.max(initial=1)) + 16))  # two bands beyond the largest set at least
+    step = 3 if percent >= 85 else 2
+    edges = np.array(bands(percent, 4 * int(size.max(initial=1)) + 64))  # more than a frame beyond the largest set
     band = np.searchsorted(edges, size, "right") - 1  # -1 for empty sets
     out_h, out_r = [], []
     owner = np.repeat(np.arange(len(size)), size)
-    for back in (0, 1):  # the pair of bands that a set's band begins, and the one that it ends
-        first = band - back
+    for back in (0, 1):  # the frame that a band is in, and the one that it ends
+        frame = band // step - back
+        inside = (band >= 0) & (frame >= 0) & ((band % step == 0) if back else True)
         p = np.zeros(len(size), np.int64)
-        for b in np.unique(first[(size > 0) & (first >= 0)]).tolist():
-            p[(first == b) & (size > 0)] = parts_of(int(edges[b + 2]) - 1, percent)
-        use = p > 0
+        for f in np.unique(frame[inside]).tolist():
+            p[inside & (frame == f)] = parts_of(int(edges[f * step + step + 1]) - 1, percent)
         base = np.concatenate(([0], np.cumsum(p)))
-        keep = use[owner]
+        keep = inside[owner]
         part = (K.mix(sets[keep] ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)) % p[owner[keep]].astype(np.uint64)
         slot = base[owner[keep]] + part.astype(np.int64)
         total = np.zeros(int(base[-1]), np.uint64)
@@ -106,7 +111,7 @@ def tokens(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarr
         number = np.arange(len(row)) - base[row]
         empty = np.bincount(row, ~filled, minlength=len(size))
         emit = filled | (empty > SPARE)[row]
-        label = K.mix(number.astype(np.uint64) + (first[row].astype(np.uint64) << np.uint64(32)))
+        label = K.mix(number.astype(np.uint64) + (frame[row].astype(np.uint64) << np.uint64(32)))
         out_h.append(K.mix(total ^ label)[emit])
         out_r.append(row[emit])
     return np.concatenate(out_h), np.concatenate(out_r)
@@ -117,8 +122,8 @@ def class_id(grams: np.ndarray) -> bytes:
 
 
 def _scan(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, class, n_shingles, tokens): tokens only for the first of equal sets in a task, and none for empty sets."""
-    schema = docs.select("doc_id").schema.add("class", "binary").add("n_shingles", "long").add("tokens", T.ArrayType(T.LongType()))
+    """(doc_id, class, short, n_shingles, tokens): tokens only for the first of equal sets in a task, and none for empty sets. short: 64 bits of class."""
+    schema = docs.select("doc_id").schema.add("class", "binary").add("short", "long").add("n_shingles", "long").add("tokens", T.ArrayType(T.LongType()))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -139,7 +144,7 @@ def _scan(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 order = np.argsort(row, kind="stable")
                 offsets = np.searchsorted(row[order], np.arange(rows.n + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.first, rows.n), pa.array(names, pa.binary()), pa.array(np.diff(bounds).astype(np.int64)), lists], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.first, rows.n), pa.array(names, pa.binary()), pa.array([x and int.from_bytes(x[:8], "little", signed=True) for x in names], pa.int64()), pa.array(np.diff(bounds).astype(np.int64)), lists], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(of, schema)
 
@@ -227,17 +232,18 @@ def _links_batch(forest: list[tuple[bytes, bytes]], degree: dict[bytes, int]) ->
 
 def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_tokens: int) -> DataFrame:
     """(a, b, n) as in _links_batch, for the classes of scanned."""
-    pairs = scanned.where("size(tokens) > 0").select("class", "n_shingles", F.explode("tokens").alias("token"))
-    shared = pairs.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("token", "least")
-    rows = stash(pairs.join(shared, "token"), "tokens")
-    lead = rows.groupBy("class").agg(F.min("least").alias("lead"), F.first("n_shingles").alias("n_shingles"))
-    load = lead.groupBy("lead").agg(F.ceil(F.greatest(F.sum("n_shingles") / group_tokens, F.count(F.lit(1)) / GROUP_CLASSES)).alias("splits"))
-    grouped = lead.join(load, "lead").select("class", F.xxhash64("lead", F.pmod(F.xxhash64("class"), F.col("splits"))).alias("group"))
-    counts = scanned.where("class IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("one"))
-    grouped = stash(grouped.join(counts, "class"), "groups")
+    # short stands for the class here: rows are small, and two classes that share it are only grouped together
+    pairs = scanned.where("size(tokens) > 0").select("short", F.explode("tokens").alias("token"))
+    shared = pairs.groupBy("token").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most").select("token", "least")
+    rows = stash(pairs.join(shared.hint("merge"), "token"), "tokens")
+    lead = rows.groupBy("short").agg(F.min("least").alias("lead"))
+    counts = scanned.where("class IS NOT NULL").groupBy("class", "short", "n_shingles").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("one"))
+    led = stash(counts.join(lead, "short"), "led")
+    load = led.groupBy("lead").agg(F.ceil(F.greatest(F.sum("n_shingles") / group_tokens, F.count(F.lit(1)) / GROUP_CLASSES)).alias("splits"))
+    grouped = stash(led.join(load, "lead").select("class", "short", "docs", "one", F.xxhash64("lead", F.pmod(F.xxhash64("class"), F.col("splits"))).alias("group")), "groups")
     # the shingle sets of the classes at hand, from one document of each
     ids = grouped.select(F.col("class").alias("_class"), "group", "docs", F.col("one").alias("_one"))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_one"))).select("text", "_class", "group", "docs")
+    texts = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_one"))).select("text", "_class", "group", "docs")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +258,7 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
                 yield pa.RecordBatch.from_arrays([*others, pa.array(out, pa.binary())], ["class", "group", "docs", "set"])
 
     sets = texts.mapInArrow(sets_of, "class binary, group long, docs long, set binary")
-    matrix = rows.join(grouped.select("class", "group"), "class").select("token", "group").distinct()
+    matrix = rows.join(grouped.select("short", "group"), "short").select("token", "group").distinct()
     gathered = sets.repartition("group").groupBy("group").agg(F.collect_set(F.struct("class", "docs", "set")).alias("members"))
     groups = stash(gathered, "members")
 
