@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import vectors as V
 from .topk import top
@@ -36,6 +37,7 @@ def route(corpus: DataFrame, queries: DataFrame, bound: int) -> DataFrame:
     kind = queries.schema["qid"].dataType
     schema = T.StructType([T.StructField("qid", kind), T.StructField("qv", T.ArrayType(T.FloatType())), T.StructField("approx", T.DoubleType()), *corpus.schema.fields])
     spark = corpus.sparkSession
+    id_type = to_arrow_schema(T.StructType([schema.fields[0]])).field(0).type
     out = None
     rows = queries.select("qid", "qv").toLocalIterator()
     block: list = []
@@ -60,7 +62,7 @@ def route(corpus: DataFrame, queries: DataFrame, bound: int) -> DataFrame:
                     if not len(r):
                         continue
                     taken = batch.take(pa.array(r))
-                    cols = [pa.array([ids[j] for j in c.tolist()]), pa.array(q[c].astype(np.float32).tolist(), pa.list_(pa.float32())), pa.array(s[r, c])]
+                    cols = [pa.array([ids[j] for j in c.tolist()], id_type), pa.array(q[c].astype(np.float32).tolist(), pa.list_(pa.float32())), pa.array(s[r, c])]
                     yield pa.RecordBatch.from_arrays([*cols, *taken.columns], ["qid", "qv", "approx", *names])
 
         return top(corpus.mapInArrow(of, schema), bound, ["qid"], "approx", "key", "_c").drop("_c")
