@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernels as K
 from .store import stash
@@ -41,6 +40,8 @@ N = 3
 PERCENT = 90
 GROUP_TOKENS = 1 << 17
 GROUP_CLASSES = 1024
+BUCKET_SHINGLES = 1 << 20  # of documents, for a bucket of tokens
+BUCKET_TOKENS = 1 << 22  # that are gathered in a bucket at most
 SPARE = 3  # parts beyond the pigeonhole's need: a class with up to so many empty parts needs no token for an empty part
 
 
@@ -121,34 +122,121 @@ def class_id(grams: np.ndarray) -> bytes:
     return hashlib.md5(grams.tobytes(), usedforsecurity=False).digest()
 
 
-def _scan(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, class, short, n_shingles, tokens): tokens only for the first of equal sets in a task, and none for empty sets. short: 64 bits of class."""
-    schema = docs.select("doc_id").schema.add("class", "binary").add("short", "long").add("n_shingles", "long").add("tokens", T.ArrayType(T.LongType()))
+def _short(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
+def _scan(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, class, short, n_shingles); short is 64 bits of class. Both are null for empty sets."""
+    schema = docs.select("doc_id").schema.add("class", "binary").add("short", "long").add("n_shingles", "long")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
             for rows in K.blocks(batch.column(1)):
                 sets, bounds = shingle_hashes(rows, n)
-                names, first = [], np.zeros(rows.n, bool)
-                for i in range(rows.n):
-                    if bounds[i] == bounds[i + 1]:
-                        names.append(None)
-                        continue
-                    names.append(class_id(sets[bounds[i] : bounds[i + 1]]))
-                    first[i] = names[-1] not in seen
-                    seen.add(names[-1])
-                sized = np.where(first, np.diff(bounds), 0)
-                kept = sets[np.repeat(first, np.diff(bounds))]
-                h, row = tokens(kept, np.concatenate(([0], np.cumsum(sized))), percent)
-                order = np.argsort(row, kind="stable")
-                offsets = np.searchsorted(row[order], np.arange(rows.n + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.first, rows.n), pa.array(names, pa.binary()), pa.array([x and int.from_bytes(x[:8], "little", signed=True) for x in names], pa.int64()), pa.array(np.diff(bounds).astype(np.int64)), lists], schema.names)
+                names = [class_id(sets[a:b]) if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                cols = [pa.array(names, pa.binary()), pa.array([None if x is None else _short(x) for x in names], pa.int64()), pa.array(np.diff(bounds).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.first, rows.n), *cols], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(of, schema)
 
 
+_PACK = "bucket int, tokens binary, shorts binary"
+_ROWS = "token long, short long, least long"
+LOW = np.uint64((1 << 48) - 1)
+
+
+def _pack(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """The matrix tokens of each class, once a task, packed by bucket: 6 bytes of each token and 8 of its class.
+
+    A bucket is a stretch of the tokens' upper 16 bits, so 48 bits and the bucket tell tokens apart; tokens that agree
+    there only lead to a comparison more.
+    """
+
+    def blobs(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        token = np.concatenate([x for x, _ in held])
+        short = np.concatenate([x for _, x in held])
+        bucket = ((token >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        low = np.ascontiguousarray((token[order] & LOW).view(np.uint8).reshape(-1, 8)[:, :6])
+        short = short[order]
+        some = np.flatnonzero(np.diff(at))
+        cols = [pa.array(some.astype(np.int32)), pa.array([low[at[i] : at[i + 1]].tobytes() for i in some.tolist()], pa.binary()), pa.array([short[at[i] : at[i + 1]].tobytes() for i in some.tolist()], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _PACK.split(", ")])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for rows in K.blocks(batch.column(0)):
+                sets, bounds = shingle_hashes(rows, n)
+                first, names = np.zeros(rows.n, bool), np.zeros(rows.n, np.int64)
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    if b > a:
+                        names[i] = _short(class_id(sets[a:b]))
+                        first[i] = int(names[i]) not in seen
+                        seen.add(int(names[i]))
+                count = np.diff(bounds)
+                h, row = tokens(sets[np.repeat(first, count)], np.concatenate(([0], np.cumsum(np.where(first, count, 0)))), percent)
+                held.append((h, names[row]))
+                size += len(h)
+                if size >= 1 << 20:
+                    yield blobs(held)
+                    held, size = [], 0
+        if size:
+            yield blobs(held)
+
+    return docs.select("text").mapInArrow(of, _PACK)
+
+
+def _shared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows in the order of buckets to (token, short, least) of tokens that two classes share.
+
+    A bucket of more than ``most`` packed tokens is not gathered: its rows are all passed on, with no least.
+    """
+
+    def table(token: np.ndarray, short: np.ndarray, least: np.ndarray | None) -> pa.RecordBatch:
+        last = pa.nulls(len(token), pa.int64()) if least is None else pa.array(least)
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(short), last], ["token", "short", "least"])
+
+    def rows_of(held: list[tuple[bytes, bytes]], bucket: int) -> tuple[np.ndarray, np.ndarray]:
+        low = np.frombuffer(b"".join(x for x, _ in held), np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(low), 8), np.uint8)
+        wide[:, :6] = low
+        return wide.view(np.int64).ravel() | np.int64(bucket) << np.int64(48), np.frombuffer(b"".join(x for _, x in held), np.int64)
+
+    def result(held: list[tuple[bytes, bytes]], bucket: int) -> pa.RecordBatch:
+        token, short = rows_of(held, bucket)
+        order = np.lexsort((short, token))
+        token, short = token[order], short[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (short[1:] != short[:-1])
+        token, short = token[new], short[new]
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        count = np.diff(np.concatenate((start, [len(token)])))
+        least = np.repeat(short[start], count)
+        keep = np.repeat(count > 1, count)
+        return table(token[keep], short[keep], least[keep])
+
+    bucket, held, size, large = -1, [], 0, False
+    for batch in batches:
+        for b, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if b != bucket:
+                if held:
+                    yield result(held, bucket)
+                bucket, held, size, large = b, [], 0, False
+            held.append((x.as_py(), y.as_py()))
+            size += len(held[-1][1]) // 8
+            if large or size > most:
+                large = True
+                yield table(*rows_of(held, bucket), None)
+                held = []
+    if held:
+        yield result(held, bucket)
+
+
 class _Group:
     """Classes with their sets, and the union of these."""
 
@@ -232,10 +320,15 @@ def _links_batch(forest: list[tuple[bytes, bytes]], degree: dict[bytes, int]) ->
 
 def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_tokens: int) -> DataFrame:
     """(a, b, n) as in _links_batch, for the classes of scanned."""
-    # short stands for the class here: rows are small, and two classes that share it are only grouped together
-    pairs = scanned.where("size(tokens) > 0").select("short", F.explode("tokens").alias("token"))
-    shared = pairs.groupBy("token").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most").select("token", "least")
-    rows = stash(pairs.join(shared.hint("merge"), "token"), "tokens")
+    # short stands for the class here: two classes that share it are only grouped together
+    whole = scanned.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = int(min(1 << 16, 1 + whole // BUCKET_SHINGLES))
+    packed = _pack(docs, n, percent, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    rows = stash(packed.mapInArrow(lambda it: _shared(it, BUCKET_TOKENS), _ROWS), "tokens")
+    loose = rows.where("least IS NULL").select("token", "short")
+    if not loose.isEmpty():  # of buckets too large to gather: the same by aggregation and join
+        least = loose.groupBy("token").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most").select("token", "least")
+        rows = stash(rows.where("least IS NOT NULL").unionByName(loose.distinct().join(least, "token")), "tokens")
     lead = rows.groupBy("short").agg(F.min("least").alias("lead"))
     counts = scanned.where("class IS NOT NULL").groupBy("class", "short", "n_shingles").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("one"))
     led = stash(counts.join(lead, "short"), "led")
@@ -306,7 +399,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """(doc_id, class, n_shingles, component_id, n_links): a row for each document; class is null for empty sets."""
-    scanned = stash(_scan(docs, n, percent), "scanned")
+    scanned = stash(_scan(docs, n), "scanned")
     found = stash(links(docs, scanned, n, percent, group_tokens), "links")
     roots = components(found.where("b IS NOT NULL"))
     degree = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("far"))
