@@ -10,7 +10,8 @@ link when their sets' Jaccard similarity is at least ``percent`` hundredths, tes
 3. Groups. Classes are put into groups by the least class that any of their shared tokens leads to, so similar classes
    meet; a group that would hold more than ``group_tokens`` shingles or GROUP_CLASSES classes is split by hash. A group's token union is stored:
    its shared tokens (the matrix, token by group) and the union of its shingles.
-4. Opening. Two groups are compared only if their token unions meet in the matrix. There, each class of one is a query: its
+4. Opening. Two linked classes share several tokens, at least as many as a class's spare parts allow; a class that shares
+   fewer with all others is linked with none, and two groups are compared only if their token unions meet that often. There, each class of one is a query: its
    overlap with the other's shingle union bounds the overlap with any member. Only queries whose bound reaches the
    threshold, and a group that has such queries, are opened; intersections are then counted by matrix products.
    A pair of groups gives back a spanning forest of its links and, for each class, the number of linked documents; pairs
@@ -42,7 +43,6 @@ GROUP_TOKENS = 1 << 17
 GROUP_CLASSES = 1024
 BUCKET_SHINGLES = 1 << 20  # of documents, for a bucket of tokens
 BUCKET_TOKENS = 1 << 22  # that are gathered in a bucket at most
-SPARE = 3  # parts beyond the pigeonhole's need: a class with up to so many empty parts needs no token for an empty part
 
 
 def shingle_hashes(rows: K.Rows, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,31 +75,35 @@ def bands(percent: int, upto: int) -> list[int]:
     return edges
 
 
-def parts_of(high: int, percent: int) -> int:
-    """Parts for sets of at most high shingles: a linked pair differs in at most this many, less SPARE + 1."""
+def parts_of(high: int, percent: int) -> tuple[int, int]:
+    """(parts, spare) for sets of at most high shingles. A linked pair differs in at most parts - spare - 1 shingles, so at least spare + 1 parts agree."""
     union = 2 * high * 100 // (100 + percent)
     differ = union * (100 - percent) // 100
-    return differ + 1 + SPARE if differ else 1
+    spare = 2 + differ // 12 if differ else 0
+    return differ + 1 + spare, spare
 
 
-def tokens(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Matrix tokens of each set: their hashes and the set of each.
+def tokens(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matrix tokens of each set: their hashes, the set of each, and for each set how many tokens it shares with a linked one at least.
 
     A frame is ``step`` bands and the next one, so neighbouring bands share a frame; a set is in one frame or, in a band
-    that two frames share, in two. Its parts are those of the frame's largest size.
+    that two frames share, in two. Its parts are those of the frame's largest size. Empty parts give no token, unless a
+    set has more of them than spare parts.
     """
     size = np.diff(bounds)
     step = 3 if percent >= 85 else 2
     edges = np.array(bands(percent, 4 * int(size.max(initial=1)) + 64))  # more than a frame beyond the largest set
     band = np.searchsorted(edges, size, "right") - 1  # -1 for empty sets
     out_h, out_r = [], []
+    need = np.full(len(size), 255)
     owner = np.repeat(np.arange(len(size)), size)
     for back in (0, 1):  # the frame that a band is in, and the one that it ends
         frame = band // step - back
         inside = (band >= 0) & (frame >= 0) & ((band % step == 0) if back else True)
-        p = np.zeros(len(size), np.int64)
+        p, spare = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         for f in np.unique(frame[inside]).tolist():
-            p[inside & (frame == f)] = parts_of(int(edges[f * step + step + 1]) - 1, percent)
+            at = inside & (frame == f)
+            p[at], spare[at] = parts_of(int(edges[f * step + step + 1]) - 1, percent)
         base = np.concatenate(([0], np.cumsum(p)))
         keep = inside[owner]
         part = (K.mix(sets[keep] ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)) % p[owner[keep]].astype(np.uint64)
@@ -111,11 +115,12 @@ def tokens(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarr
         row = np.repeat(np.arange(len(size)), p)
         number = np.arange(len(row)) - base[row]
         empty = np.bincount(row, ~filled, minlength=len(size))
-        emit = filled | (empty > SPARE)[row]
+        emit = filled | (empty > spare)[row]
+        need = np.where(inside, np.minimum(need, np.maximum(1, spare + 1 - empty.astype(np.int64))), need)
         label = K.mix(number.astype(np.uint64) + (frame[row].astype(np.uint64) << np.uint64(32)))
         out_h.append(K.mix(total ^ label)[emit])
         out_r.append(row[emit])
-    return np.concatenate(out_h), np.concatenate(out_r)
+    return np.concatenate(out_h), np.concatenate(out_r), need
 
 
 def class_id(grams: np.ndarray) -> bytes:
@@ -141,33 +146,31 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(of, schema)
 
 
-_PACK = "bucket int, tokens binary, shorts binary"
-_ROWS = "token long, short long, least long"
+_PACK = "bucket int, tokens binary, shorts binary, needs binary"
+_ROWS = "token long, short long, need int, least long"
 LOW = np.uint64((1 << 48) - 1)
 
 
 def _pack(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """The matrix tokens of each class, once a task, packed by bucket: 6 bytes of each token and 8 of its class.
+    """The matrix tokens of each class, once a task, packed by bucket: 6 bytes of each token, 8 of its class and one of the class's need.
 
     A bucket is a stretch of the tokens' upper 16 bits, so 48 bits and the bucket tell tokens apart; tokens that agree
     there only lead to a comparison more.
     """
 
-    def blobs(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        token = np.concatenate([x for x, _ in held])
-        short = np.concatenate([x for _, x in held])
+    def blobs(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        token, short, need = (np.concatenate(x) for x in zip(*held, strict=True))
         bucket = ((token >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         at = np.searchsorted(bucket[order], np.arange(buckets + 1))
         low = np.ascontiguousarray((token[order] & LOW).view(np.uint8).reshape(-1, 8)[:, :6])
-        short = short[order]
         some = np.flatnonzero(np.diff(at))
-        cols = [pa.array(some.astype(np.int32)), pa.array([low[at[i] : at[i + 1]].tobytes() for i in some.tolist()], pa.binary()), pa.array([short[at[i] : at[i + 1]].tobytes() for i in some.tolist()], pa.binary())]
+        cols = [pa.array(some.astype(np.int32)), *[pa.array([x[at[i] : at[i + 1]].tobytes() for i in some.tolist()], pa.binary()) for x in (low, short[order], need[order])]]
         return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _PACK.split(", ")])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             for rows in K.blocks(batch.column(0)):
@@ -179,8 +182,8 @@ def _pack(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                         first[i] = int(names[i]) not in seen
                         seen.add(int(names[i]))
                 count = np.diff(bounds)
-                h, row = tokens(sets[np.repeat(first, count)], np.concatenate(([0], np.cumsum(np.where(first, count, 0)))), percent)
-                held.append((h, names[row]))
+                h, row, need = tokens(sets[np.repeat(first, count)], np.concatenate(([0], np.cumsum(np.where(first, count, 0)))), percent)
+                held.append((h, names[row], need[row].astype(np.uint8)))
                 size += len(h)
                 if size >= 1 << 20:
                     yield blobs(held)
@@ -192,43 +195,43 @@ def _pack(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows in the order of buckets to (token, short, least) of tokens that two classes share.
+    """Packed rows in the order of buckets to (token, short, need, least) of tokens that two classes share.
 
     A bucket of more than ``most`` packed tokens is not gathered: its rows are all passed on, with no least.
     """
 
-    def table(token: np.ndarray, short: np.ndarray, least: np.ndarray | None) -> pa.RecordBatch:
+    def table(token: np.ndarray, short: np.ndarray, need: np.ndarray, least: np.ndarray | None) -> pa.RecordBatch:
         last = pa.nulls(len(token), pa.int64()) if least is None else pa.array(least)
-        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(short), last], ["token", "short", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(short), pa.array(need.astype(np.int32)), last], ["token", "short", "need", "least"])
 
-    def rows_of(held: list[tuple[bytes, bytes]], bucket: int) -> tuple[np.ndarray, np.ndarray]:
-        low = np.frombuffer(b"".join(x for x, _ in held), np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(low), 8), np.uint8)
-        wide[:, :6] = low
-        return wide.view(np.int64).ravel() | np.int64(bucket) << np.int64(48), np.frombuffer(b"".join(x for _, x in held), np.int64)
+    def rows_of(held: list[tuple[bytes, bytes, bytes]], bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low, short, need = (np.frombuffer(b"".join(x), k) for x, k in zip(zip(*held, strict=True), (np.uint8, np.int64, np.uint8), strict=True))
+        wide = np.zeros((len(short), 8), np.uint8)
+        wide[:, :6] = low.reshape(-1, 6)
+        return wide.view(np.int64).ravel() | np.int64(bucket) << np.int64(48), short, need
 
-    def result(held: list[tuple[bytes, bytes]], bucket: int) -> pa.RecordBatch:
-        token, short = rows_of(held, bucket)
+    def result(held: list[tuple[bytes, bytes, bytes]], bucket: int) -> pa.RecordBatch:
+        token, short, need = rows_of(held, bucket)
         order = np.lexsort((short, token))
-        token, short = token[order], short[order]
+        token, short, need = token[order], short[order], need[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (short[1:] != short[:-1])
-        token, short = token[new], short[new]
+        token, short, need = token[new], short[new], need[new]
         start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         count = np.diff(np.concatenate((start, [len(token)])))
         least = np.repeat(short[start], count)
         keep = np.repeat(count > 1, count)
-        return table(token[keep], short[keep], least[keep])
+        return table(token[keep], short[keep], need[keep], least[keep])
 
     bucket, held, size, large = -1, [], 0, False
     for batch in batches:
-        for b, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        for b, *blob in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
             if b != bucket:
                 if held:
                     yield result(held, bucket)
                 bucket, held, size, large = b, [], 0, False
-            held.append((x.as_py(), y.as_py()))
-            size += len(held[-1][1]) // 8
+            held.append(tuple(x.as_py() for x in blob))
+            size += len(held[-1][2])
             if large or size > most:
                 large = True
                 yield table(*rows_of(held, bucket), None)
@@ -325,15 +328,16 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
     buckets = int(min(1 << 16, 1 + whole // BUCKET_SHINGLES))
     packed = _pack(docs, n, percent, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     rows = stash(packed.mapInArrow(lambda it: _shared(it, BUCKET_TOKENS), _ROWS), "tokens")
-    loose = rows.where("least IS NULL").select("token", "short")
+    loose = rows.where("least IS NULL").select("token", "short", "need")
     if not loose.isEmpty():  # of buckets too large to gather: the same by aggregation and join
         least = loose.groupBy("token").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most").select("token", "least")
         rows = stash(rows.where("least IS NOT NULL").unionByName(loose.distinct().join(least, "token")), "tokens")
-    lead = rows.groupBy("short").agg(F.min("least").alias("lead"))
+    # a class that shares fewer tokens with others than a link needs is linked with none
+    lead = rows.groupBy("short").agg(F.min("least").alias("lead"), F.count(F.lit(1)).alias("hits"), F.max("need").alias("need")).where("hits >= need").drop("hits")
     counts = scanned.where("class IS NOT NULL").groupBy("class", "short", "n_shingles").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("one"))
     led = stash(counts.join(lead, "short"), "led")
     load = led.groupBy("lead").agg(F.ceil(F.greatest(F.sum("n_shingles") / group_tokens, F.count(F.lit(1)) / GROUP_CLASSES)).alias("splits"))
-    grouped = stash(led.join(load, "lead").select("class", "short", "docs", "one", F.xxhash64("lead", F.pmod(F.xxhash64("class"), F.col("splits"))).alias("group")), "groups")
+    grouped = stash(led.join(load, "lead").select("class", "short", "docs", "one", "need", F.xxhash64("lead", F.pmod(F.xxhash64("class"), F.col("splits"))).alias("group")), "groups")
     # the shingle sets of the classes at hand, from one document of each
     ids = grouped.select(F.col("class").alias("_class"), "group", "docs", F.col("one").alias("_one"))
     texts = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_one"))).select("text", "_class", "group", "docs")
@@ -352,6 +356,7 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
 
     sets = texts.mapInArrow(sets_of, "class binary, group long, docs long, set binary")
     matrix = rows.join(grouped.select("short", "group"), "short").select("token", "group").distinct()
+    least_need = grouped.groupBy("group").agg(F.min("need").alias("least_need"))
     gathered = sets.repartition("group").groupBy("group").agg(F.collect_set(F.struct("class", "docs", "set")).alias("members"))
     groups = stash(gathered, "members")
 
@@ -367,8 +372,11 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
                 yield _links_batch(*open_pair(_load(x.as_py()), _load(y.as_py()), percent, False))
 
     own = groups.where("size(members) > 1").select("members").mapInArrow(inside, _LINKS)
-    left = matrix.withColumnRenamed("group", "g1")
-    meet = left.join(matrix.withColumnRenamed("group", "g2"), "token").where("g1 < g2").select("g1", "g2").distinct()
+    left = matrix.select("token", F.col("group").alias("g1"))
+    meet = left.join(matrix.select("token", F.col("group").alias("g2")), "token").where("g1 < g2").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("common"))
+    for g in ("g1", "g2"):
+        meet = meet.join(least_need.withColumnRenamed("group", g), g).where("common >= least_need").drop("least_need")
+    meet = meet.drop("common")
     meet = meet.join(groups.select(F.col("group").alias("g1"), F.col("members").alias("m1")), "g1").join(groups.select(F.col("group").alias("g2"), F.col("members").alias("m2")), "g2")
     return own.unionByName(meet.select("m1", "m2").mapInArrow(between, _LINKS))
 

@@ -137,12 +137,13 @@ def train(labelled: DataFrame, per: int = PER, most: int = MOST) -> Model | None
                     n.append(c.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.first, rows.n), batch.column(1).slice(rows.first, rows.n), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], ["doc_id", "lang", "at", "n"])
 
-    got = few.mapInArrow(bags, "doc_id long, lang string, at array<int>, n array<int>").toPandas().sort_values("doc_id", kind="stable")
-    got = got[[len(x) > 0 for x in got["at"]]]
-    if not len(got):
+    got = few.mapInArrow(bags, "doc_id long, lang string, at array<int>, n array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    full = [i for i in range(len(got)) if len(got["at"][i])]
+    if not full:
         return None
-    names = sorted(got["lang"].unique())
-    return fit([(np.asarray(a), np.asarray(n)) for a, n in zip(got["at"], got["n"], strict=True)], np.searchsorted(names, got["lang"]), names)
+    langs_ = [got["lang"][i].as_py() for i in full]
+    names = sorted(set(langs_))
+    return fit([(got["at"][i].values.to_numpy(), got["n"][i].values.to_numpy()) for i in full], np.searchsorted(names, langs_), names)
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:

@@ -33,8 +33,8 @@ from .store import stash
 ORDER = 4
 BITS = 5
 SIZE = 1 << (BITS * ORDER)
-WIDTH = 3.0
-FLOOR = 0.08
+WIDTH = 4.0
+FLOOR = 0.02
 LEAST = 20
 MIN_WORDS = 50
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double"
@@ -217,8 +217,8 @@ def bands(scored: DataFrame, lang_col: str = "lang", width: float = WIDTH, floor
 
 def with_quality(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
     """docs (or their columns keep) with the base counts, log_ppl, the band's low and high, and kept."""
-    got = count_ngrams(docs, text_col).orderBy("code").toPandas()  # at most 2**20 rows
-    model = train(got["code"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
+    got = count_ngrams(docs, text_col).toArrow().sort_by("code")  # at most 2**20 rows
+    model = train(got["code"].to_numpy().astype(np.int64), got["n"].to_numpy())
     keep = docs.columns if keep is None else keep
     both = list(dict.fromkeys([*keep, lang_col]))
     scored = stash(score(docs, model, both, text_col), "quality")

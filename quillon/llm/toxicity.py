@@ -145,11 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, per: int = PER, label_col: str = "
                 yield pa.RecordBatch.from_arrays([*part, pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], ["doc_id", "y", "words"])
 
     got = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "_y", "text").mapInArrow(sets, "doc_id long, y int, words array<bigint>")
-    got = got.toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    label = got["y"].to_numpy(np.int64)
+    table = got.toArrow().combine_chunks()
+    ids = table["doc_id"].to_numpy()
+    pick = np.unique(ids, return_index=True)[1]  # one row an id, in the order of ids
+    label = table["y"].to_numpy()[pick].astype(np.int64)
     taken = np.bincount(label) if len(label) else np.empty(0)
     weight = np.array([sizes[y] / taken[y] for y in label.tolist()])
-    return fit([np.asarray(x, np.int64).view(np.uint64) for x in got["words"]], label, weight)
+    return fit([table["words"][i].values.to_numpy().view(np.uint64) for i in pick.tolist()], label, weight)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
