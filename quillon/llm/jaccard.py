@@ -11,10 +11,10 @@ link when their sets' Jaccard similarity is at least ``percent`` hundredths, tes
    meet; a group that would hold more than ``group_tokens`` shingles or GROUP_CLASSES classes is split by hash. A group's token union is stored:
    its shared tokens (the matrix, token by group) and the union of its shingles.
 4. Opening. Two linked classes share several tokens, at least as many as a class's spare parts allow; a class that shares
-   fewer with all others is linked with none, and two groups are compared only if their token unions meet that often. There, each class of one is a query: its
-   overlap with the other's shingle union bounds the overlap with any member. Only queries whose bound reaches the
-   threshold, and a group that has such queries, are opened; intersections are then counted by matrix products.
-   A pair of groups gives back a spanning forest of its links and, for each class, the number of linked documents; pairs
+   fewer with all others is linked with none. Each class is a query to the other groups: its tokens in a group's union
+   bound the overlap, and only groups that reach that number are opened for it. There, a query's
+   overlap with the group's shingle union bounds the overlap with any member; only queries whose bound reaches the
+   threshold go on, and their intersections are counted by matrix products. A group gives back a spanning forest of its links and, for each class, the number of linked documents; pairs
    of documents are never written.
 5. Components come from the forests, by rounds of least-neighbour contraction in Spark.
 
@@ -41,6 +41,7 @@ N = 3
 PERCENT = 90
 GROUP_TOKENS = 1 << 17
 GROUP_CLASSES = 1024
+QUERIES_AT_ONCE = 256  # of a group
 BUCKET_SHINGLES = 1 << 20  # of documents, for a bucket of tokens
 BUCKET_TOKENS = 1 << 22  # that are gathered in a bucket at most
 
@@ -356,7 +357,6 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
 
     sets = texts.mapInArrow(sets_of, "class binary, group long, docs long, set binary")
     matrix = rows.join(grouped.select("short", "group"), "short").select("token", "group").distinct()
-    least_need = grouped.groupBy("group").agg(F.min("need").alias("least_need"))
     gathered = sets.repartition("group").groupBy("group").agg(F.collect_set(F.struct("class", "docs", "set")).alias("members"))
     groups = stash(gathered, "members")
 
@@ -372,13 +372,16 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
                 yield _links_batch(*open_pair(_load(x.as_py()), _load(y.as_py()), percent, False))
 
     own = groups.where("size(members) > 1").select("members").mapInArrow(inside, _LINKS)
-    left = matrix.select("token", F.col("group").alias("g1"))
-    meet = left.join(matrix.select("token", F.col("group").alias("g2")), "token").where("g1 < g2").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("common"))
-    for g in ("g1", "g2"):
-        meet = meet.join(least_need.withColumnRenamed("group", g), g).where("common >= least_need").drop("least_need")
-    meet = meet.drop("common")
-    meet = meet.join(groups.select(F.col("group").alias("g1"), F.col("members").alias("m1")), "g1").join(groups.select(F.col("group").alias("g2"), F.col("members").alias("m2")), "g2")
-    return own.unionByName(meet.select("m1", "m2").mapInArrow(between, _LINKS))
+    # a class is a query to each earlier group whose union has as many of its tokens as a link needs
+    asked = rows.join(grouped.select("short", F.col("class").alias("query"), F.col("group").alias("home"), F.col("need").alias("least_need")), "short")
+    asked = asked.select("token", "query", "home", "least_need").join(matrix, "token").where("group < home")
+    asked = asked.groupBy("query", "group").agg(F.count(F.lit(1)).alias("common"), F.first("least_need").alias("least_need")).where("common >= least_need").select("query", "group")
+    asked = stash(asked, "asked")
+    share = asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).alias("shares"))
+    asked = asked.join(share, "group").select("query", F.col("group").alias("asked"), F.pmod(F.xxhash64("query"), F.col("shares")).alias("share"))
+    one = groups.select(F.explode("members").alias("one")).select(F.col("one.class").alias("query"), "one")
+    sent = asked.join(one, "query").groupBy("asked", "share").agg(F.collect_list("one").alias("queries"))
+    return own.unionByName(sent.join(groups, F.col("asked") == F.col("group")).select("queries", "members").mapInArrow(between, _LINKS))
 
 
 def components(edges: DataFrame) -> DataFrame:
