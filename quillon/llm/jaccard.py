@@ -8,20 +8,20 @@ link when their sets' Jaccard similarity is at least ``percent`` hundredths, tes
    non-empty part (pigeonhole over the largest symmetric difference that a link allows, for each band of set sizes). A
    part's content is a token. Only tokens that two classes share go on.
 3. Groups. Classes are put into groups by the least class that any of their shared tokens leads to, so similar classes
-   meet; a group that would hold more than ``group_tokens`` shingles or GROUP_CLASSES classes is split by hash. A group's token union is stored:
-   its shared tokens (the matrix, token by group) and the union of its shingles.
+   meet; a group that would hold more than ``group_tokens`` shingles or GROUP_CLASSES classes is split by hash. A group's
+   token union is stored: its shared tokens (the matrix, token by group) and the union of its shingles.
 4. Opening. Two linked classes share several tokens, at least as many as a class's spare parts allow; a class that shares
    fewer with all others is linked with none. Each class is a query to the other groups: its tokens in a group's union
-   bound the overlap, and only groups that reach that number are opened for it. There, a query's
-   overlap with the group's shingle union bounds the overlap with any member; only queries whose bound reaches the
-   threshold go on, and their intersections are counted by matrix products. A group gives back a spanning forest of its links and, for each class, the number of linked documents; pairs
-   of documents are never written.
+   bound the overlap, and only groups that reach that number are opened for it. There, a query's overlap with the
+   group's shingle union bounds the overlap with any member; only queries whose bound reaches the threshold go on, and
+   their intersections are counted by matrix products. A group gives back a spanning forest of its links and, for each
+   class, the number of linked documents; pairs of documents are never written.
 5. Components come from the forests, by rounds of least-neighbour contraction in Spark.
 
 Edge cases: null and wordless texts have an empty set, link with nothing and are their own component; fewer than n words
 are one shingle; rows with a null id keep a null component unless linked; repeated ids count as documents of their own
-with that id; an empty table gives no rows. Extra columns stay in ``jaccard_components``; ``n_shingles component_id
-n_links`` overwrite columns of these names.
+with that id; an empty table gives no rows. Extra columns are ignored by
+``jaccard_classes`` and stay in ``keep_one``.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ PERCENT = 90
 GROUP_TOKENS = 1 << 17
 GROUP_CLASSES = 1024
 QUERIES_AT_ONCE = 256  # of a group
+SMALL = 100_000  # rows of ids that are broadcast, counted first; more are joined by shuffle
 BUCKET_SHINGLES = 1 << 20  # of documents, for a bucket of tokens
 BUCKET_TOKENS = 1 << 22  # that are gathered in a bucket at most
 
@@ -80,7 +81,7 @@ def parts_of(high: int, percent: int) -> tuple[int, int]:
     """(parts, spare) for sets of at most high shingles. A linked pair differs in at most parts - spare - 1 shingles, so at least spare + 1 parts agree."""
     union = 2 * high * 100 // (100 + percent)
     differ = union * (100 - percent) // 100
-    spare = 2 + differ // 12 if differ else 0
+    spare = 2 + differ // 4 if differ else 0
     return differ + 1 + spare, spare
 
 
@@ -322,6 +323,11 @@ def _links_batch(forest: list[tuple[bytes, bytes]], degree: dict[bytes, int]) ->
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([None] * len(forest) + list(degree.values()), pa.int64())], ["a", "b", "n"])
 
 
+def _ids(df: DataFrame) -> DataFrame:
+    """A written table of ids (under 100 bytes a row), marked for a broadcast if it is small, for a merge join if not."""
+    return F.broadcast(df) if df.count() <= SMALL else df.hint("merge")
+
+
 def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_tokens: int) -> DataFrame:
     """(a, b, n) as in _links_batch, for the classes of scanned."""
     # short stands for the class here: two classes that share it are only grouped together
@@ -341,7 +347,7 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
     grouped = stash(led.join(load, "lead").select("class", "short", "docs", "one", "need", F.xxhash64("lead", F.pmod(F.xxhash64("class"), F.col("splits"))).alias("group")), "groups")
     # the shingle sets of the classes at hand, from one document of each
     ids = grouped.select(F.col("class").alias("_class"), "group", "docs", F.col("one").alias("_one"))
-    texts = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_one"))).select("text", "_class", "group", "docs")
+    texts = docs.select("doc_id", "text").join(_ids(ids), F.col("doc_id").eqNullSafe(F.col("_one"))).select("text", "_class", "group", "docs")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,7 +435,7 @@ def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT, group_tokens:
     Documents with empty sets or a null id stay. Of rows with equal id and text one stays.
     """
     found = stash(jaccard_classes(docs, n, percent, group_tokens).select("doc_id", "component_id"), "kept")
-    gone = found.where("component_id <> doc_id").select("doc_id")
+    gone = _ids(found.where("component_id <> doc_id").select("doc_id"))
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
