@@ -1,13 +1,19 @@
 """7. Quality rules: n-gram perplexity, with language-specific upper and lower bands.
 
-The language model is a modified Kneser-Ney model of order 4 over 32 character classes (white space, the letters, digit,
-punctuation, lead byte, and two classes of continuation bytes), so it has at most 2**20 four-grams by construction:
-that is the proven bound of what is collected and broadcast, whatever the corpus. Every task counts the four-grams of
-its rows in an array and emits what it saw; Spark sums these over the whole corpus. Lower orders use continuation
-counts, which follow from the four-grams. The model is stored as sorted code arrays with probabilities and backoff
-weights; scoring looks codes up with a binary search once per worker, into a table of 2**20 log probabilities.
-
-A document's log perplexity (nats a symbol) is compared with bands of its language: quartiles of all documents of that
+The language model is a modified Kneser-Ney model of order 6 over bytes (A-Z lower-cased; spaces stand before a row).
+Nothing about it is capped: it holds every six-gram of the corpus and grows with it.
+
+1. Counting. Every task sorts the six-grams of its rows a block at a time and emits distinct ones with counts; Spark
+   deals them by the last two bytes of their context and sums them. So the grams of a part, and their shorter suffixes
+   down to order 3, have all that their counts, contexts and continuations need in that part, whatever its size.
+2. Training. Counts of counts are summed over the parts for the discounts, and the grams of order 2 (at most 2**16)
+   and 1 come to the driver. Then each part computes its probabilities by itself: sorted arrays of grams and of log
+   probabilities (fixed point, so that sums do not depend on their order).
+3. Scoring. The driver reads the parts BLOCK_GRAMS grams at a time, sorts them and broadcasts them, one block after
+   the other. Workers look up the distinct grams of their rows by binary search; they keep up to RESIDENT blocks in
+   memory, and beyond that read them in turn for each 16 MB of text. Each gram is in exactly one block.
+
+A document's log perplexity (nats a byte) is compared with bands of its language: quartiles of all documents of that
 language that pass the base rules, widened by ``width`` times the spread between the quartiles (at least ``floor``).
 Quartiles come from exact counts over bins of 0.001, so they do not depend on partitioning. Documents outside the band
 are rejected, on either side.
@@ -21,18 +27,29 @@ its output names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .store import stash
 
-ORDER = 4
-BITS = 5
-SIZE = 1 << (BITS * ORDER)
+ORDER = 6
+BITS = 8
+#: Orders up to this one are counted as a whole; those above it in parts.
+LOW = 2
+SCALE = 1 << 20
+HOLD = 1 << 22
+PART_GRAMS = 1 << 19
+PART_BYTES = 16 << 20
+BLOCK_GRAMS = 1 << 22
+RESIDENT = 4
+PARTS = "at long, size long, grams binary, counts binary, seen array<long>, pairs array<int>, follows array<long>"
+MODEL = "at long, size long, grams binary, logs binary"
 WIDTH = 4.0
 FLOOR = 0.02
 LEAST = 20
@@ -42,91 +59,202 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 SYMBOL = K.lut(lambda b: chr(b) in "#*$%&|<>")
 
 
-def _class(b: int) -> int:
-    if b == 0x20 or 9 <= b <= 13:
-        return 0
-    if 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A:
-        return (b | 0x20) - 0x60
-    if 0x30 <= b <= 0x39:
-        return 27
-    if b < 0x80:
-        return 28
-    return 29 if b >= 0xC0 else 30 + (b & 1)
-
-
-CLASS = np.array([_class(b) for b in range(256)], np.int32)
-
-
 def codes(rows: K.Rows) -> np.ndarray:
-    """The four-gram that ends at each byte; before a row's start stand spaces."""
-    c = CLASS[rows.data]
+    """The six-gram that ends at each byte, the last byte lowest; before a row's start stand spaces."""
+    c = K.LOWER[rows.data].astype(np.int64)
     out = c.copy()
     for back in range(1, ORDER):
-        shifted = np.zeros_like(c)
-        shifted[back:] = c[:-back] if back < len(c) else 0
+        shifted = np.full_like(c, 0x20)
+        shifted[back:] = c[:-back] if back < len(c) else 0x20
         for j in range(back):  # bytes of the row before do not reach into this one
             at = rows.bounds[:-1] + j
-            shifted[at[at < rows.bounds[1:]]] = 0
+            shifted[at[at < rows.bounds[1:]]] = 0x20
         out |= shifted << (BITS * back)
     return out
 
 
+def tally(grams: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams and their counts, each row counting n or 1."""
+    if n is None:
+        grams = np.sort(grams)
+    else:
+        order = np.argsort(grams)
+        grams, n = grams[order], n[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(grams)), bool), grams[1:] != grams[:-1])))
+    if n is None:
+        return grams[first], np.diff(np.append(first, len(grams)))
+    return grams[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _key(grams: np.ndarray) -> np.ndarray:
+    """The last LOW bytes of a gram's context: equal for grams that share a context or a suffix of order above LOW."""
+    return (grams >> BITS) & ((1 << (BITS * LOW)) - 1)
+
+
+def levels(grams: np.ndarray, counts: np.ndarray, lowest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted grams and counts by order, from lowest up; below the highest order a count is that of distinct continuations to the left."""
+    out = [(grams, counts)]
+    order = ORDER if lowest > LOW else LOW
+    while order > lowest:
+        order -= 1
+        out.insert(0, tally(out[0][0] & ((1 << (BITS * order)) - 1)))
+    return out
+
+
+def counts_of_counts(counts: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
+
+
 def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(code, n): the four-grams of all documents, summed by Spark; at most 2**20 rows."""
+    """PARTS: the six-grams of all documents with their counts, each part with all grams of its keys."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE, np.int64)
-        for batch in batches:
-            for rows in K.blocks(batch.column(0)):
-                total += np.bincount(codes(rows), minlength=SIZE)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["code", "n"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-    return docs.select(text_col).mapInArrow(of, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return tally(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
+        def out(grams: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(grams), 1 << 16):
+                g = grams[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(_key(g)), pa.array(g), pa.array(n[i : i + (1 << 16)])], ["key", "gram", "n"])
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (float(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4))
+        for batch in batches:
+            for rows in K.blocks(batch.column(0)):
+                held.append(tally(codes(rows)))
+                size += len(held[-1][0])
+                if size > HOLD:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > HOLD // 2:
+                        yield from out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from out(*merged())
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches]
+        if not sum(len(g) for g, _ in held):
+            return
+        grams, n = tally(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        del held
+        order = np.argsort(_key(grams), kind="stable")
+        grams, n, key = grams[order], n[order], _key(grams)[order]
+        edges = np.flatnonzero(key[1:] != key[:-1]) + 1
+        at = 0
+        while at < len(grams):  # a part has whole keys
+            later = edges[edges >= at + PART_GRAMS]
+            to = int(later[0]) if len(later) else len(grams)
+            part = tally(grams[at:to], n[at:to])
+            tables = levels(*part, LOW + 1)
+            pairs, follows = tally(tables[0][0] & ((1 << (BITS * LOW)) - 1))
+            seen = [x for _, counts in tables for x in counts_of_counts(counts)]
+            row = {"at": int(key[at]), "size": to - at, "grams": part[0].tobytes(), "counts": part[1].tobytes(), "seen": seen, "pairs": pairs.tolist(), "follows": follows.tolist()}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("at", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("seen", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int32())), ("follows", pa.list_(pa.int64()))]))
+            at = to
+
+    whole = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n_parts = int(min(1 << (BITS * LOW), whole // PART_BYTES + 1))
+    return docs.select(text_col).mapInArrow(of, "key long, gram long, n long").repartition(n_parts, "key").mapInArrow(gather, PARTS)
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+    """Modified Kneser-Ney discounts for counts of 0, 1, 2 and 3 or more, from the numbers of grams counted 1 to 4 times."""
     if not (n1 and n2 and n3 and n4):
         return np.array([0, 0.5, 0.75, 0.9])
     y = n1 / (n1 + 2 * n2)
     raw = [0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return np.clip(raw, 0, [0, 0.99, 1.99, 2.99])
-
-
-def train(code: np.ndarray, n: np.ndarray) -> list[dict[str, np.ndarray]]:
-    """From sorted four-grams with counts: for orders 1 to 4 the sorted codes, their probabilities, and the sorted contexts with the mass left for the order below."""
-    tables = [(code, n)]
-    for order in range(ORDER - 1, 0, -1):
-        kept = tables[0][0] & ((1 << (BITS * order)) - 1)
-        tables.insert(0, np.unique(kept, return_counts=True))
-    out = []
-    for order, (grams, counts) in enumerate(tables, 1):
-        d = discounts(counts)[np.minimum(counts, 3)]
-        context, at = np.unique(grams >> BITS, return_inverse=True)
-        whole = np.bincount(at, counts)
-        left = np.bincount(at, d) / whole
-        below = np.full(len(grams), 1 / (1 << BITS)) if order == 1 else out[-1]["p"][np.searchsorted(out[-1]["grams"], grams & ((1 << (BITS * (order - 1))) - 1))]
-        out.append({"grams": grams, "p": (counts - d) / whole[at] + left[at] * below, "contexts": context, "left": left})
+    return np.clip(raw, [0, 0.01, 0.01, 0.01], [0, 0.99, 1.99, 2.99])
+
+
+def estimate(grams: np.ndarray, counts: np.ndarray, cut: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Probability of each gram's last byte after its context; below has that of its suffix."""
+    d = cut[np.minimum(counts, 3)]
+    context = grams >> BITS
+    order = np.argsort(context, kind="stable")
+    at = np.empty(len(grams), np.int64)
+    at[order] = np.cumsum(np.concatenate(([0], context[order][1:] != context[order][:-1])))
+    whole = np.bincount(at, counts)
+    return (counts - d) / whole[at] + (np.bincount(at, d) / whole)[at] * below
+
+
+def low_orders(pairs: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Probability of the last byte of each pair of bytes that occurs, by pair; 0 elsewhere."""
+    (one, n_one), (two, n_two) = levels(pairs, follows, 1)
+    p = np.zeros(1 << BITS)
+    p[one] = estimate(one, n_one, discounts(*counts_of_counts(n_one)), np.full(len(one), 1 / (1 << BITS)))
+    out = np.zeros(1 << (BITS * LOW))
+    out[two] = estimate(two, n_two, discounts(*counts_of_counts(n_two)), p[two & 0xFF])
+    return out
+
+
+def train(parts: DataFrame) -> DataFrame:
+    """MODEL: for each part its sorted grams and their log probabilities, times SCALE and rounded."""
+    orders = range(LOW + 1, ORDER + 1)
+    seen = parts.select(*[F.sum(F.col("seen")[i]).cast("double") for i in range(4 * len(orders))]).first()
+    cuts = [discounts(*[x or 0.0 for x in seen[4 * i : 4 * i + 4]]) for i in range(len(orders))]
+    both = parts.select(F.explode(F.arrays_zip("pairs", "follows")).alias("x")).groupBy("x.pairs").agg(F.sum("x.follows").alias("n"))
+    low = both.toArrow().sort_by("pairs")  # at most 2**16 rows
+    base = low_orders(low["pairs"].to_numpy().astype(np.int64), low["n"].to_numpy())
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                grams, counts = (np.frombuffer(row[c], np.int64) for c in ("grams", "counts"))
+                p, above = base, None
+                for order, cut, (g, n) in zip(orders, cuts, levels(grams, counts, LOW + 1), strict=True):
+                    suffix = g & ((1 << (BITS * (order - 1))) - 1)
+                    p = estimate(g, n, cut, p[suffix] if above is None else p[np.searchsorted(above, suffix)])
+                    above = g
+                logs = np.round(np.log(p) * SCALE).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([row["at"]]), pa.array([row["size"]]), pa.array([row["grams"]], pa.binary()), pa.array([logs.tobytes()], pa.binary())], ["at", "size", "grams", "logs"])
+
+    return parts.select("at", "size", "grams", "counts").mapInArrow(of, MODEL)
+
+
+def share(model: DataFrame) -> list[Broadcast]:
+    """The model as broadcast blocks of sorted arrays; the driver holds one block at a time (a part is at most one key larger than PART_GRAMS)."""
+    sizes = model.select("at", "size").orderBy("at").collect()  # at most 2**16 rows
+    out, begin = [], 0
+    while begin < len(sizes):
+        end, n = begin, 0
+        while end < len(sizes) and (end == begin or n + sizes[end][1] <= BLOCK_GRAMS):
+            n += sizes[end][1]
+            end += 1
+        got = model.where(F.col("at").between(sizes[begin][0], sizes[end - 1][0])).select("grams", "logs").toArrow()
+        grams = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in got["grams"]])
+        logs = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in got["logs"]])
+        order = np.argsort(grams)
+        out.append(model.sparkSession.sparkContext.broadcast((grams[order], logs[order])))
+        begin = end
     return out
 
 
-def log_table(model: list[dict[str, np.ndarray]]) -> np.ndarray:
-    """Log probability of the last symbol of each of the 2**20 four-grams, backing off where one was not seen."""
-    p = np.full(1, 1 / (1 << BITS))
-    for order, t in enumerate(model, 1):
-        every = np.arange(1 << (BITS * order))
-        below = p[every & max(0, (1 << (BITS * (order - 1))) - 1)]
-        if not len(t["grams"]):
-            p = below
-            continue
-        at = np.minimum(np.searchsorted(t["grams"], every), len(t["grams"]) - 1)
-        seen = t["grams"][at] == every
-        c = np.minimum(np.searchsorted(t["contexts"], every >> BITS), len(t["contexts"]) - 1)
-        left = np.where(t["contexts"][c] == every >> BITS, t["left"][c], 1.0)
-        p = np.where(seen, t["p"][at], left * below)
-    return np.log(p)
+#: Log probability, times SCALE, of a gram that the model lacks; the corpus that it was trained on has none.
+UNSEEN = round(np.log(1 / (1 << BITS)) * SCALE)
+
+
+def _log_sums(group: list[K.Rows], blocks: list[Broadcast]) -> list[np.ndarray]:
+    """Sums of the log probabilities of each row's grams, by block of rows."""
+    found = []
+    for rows in group:
+        c = codes(rows)
+        order = np.argsort(c)
+        grams = c[order]
+        first = np.concatenate((np.ones(min(1, len(c)), bool), grams[1:] != grams[:-1]))
+        which = np.empty(len(c), np.int32)
+        which[order] = np.cumsum(first) - 1
+        grams = grams[first]
+        found.append((grams, which, np.full(len(grams), UNSEEN, np.int64)))
+    for block in blocks:
+        known, logs = block.value
+        for grams, _, value in found:
+            at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            value[:] = np.where(known[at] == grams, logs[at], value)
+        if len(blocks) > RESIDENT and getattr(block, "_path", None):
+            vars(block).pop("_value", None)  # read again from the executor's copy for the next group
+    return [K.sums(value[which], rows.bounds) for rows, (_, which, value) in zip(group, found, strict=True)]
 
 
 def base_stats(rows: K.Rows) -> dict[str, np.ndarray]:
@@ -173,9 +301,8 @@ def _repeated(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: list[dict[str, np.ndarray]], keep: list[str], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: list[Broadcast], keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns keep of docs, with the base counts, base_failed and log_ppl."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [x.split()[0] for x in STATS.split(", ")]
     docs = docs.select(*[c for c in keep if c not in names], docs[text_col].alias("_text"))
     kept = docs.columns[:-1]
@@ -184,19 +311,17 @@ def score(docs: DataFrame, model: list[dict[str, np.ndarray]], keep: list[str],
         schema = schema.add(*x.split())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = log_table(shared.value)
         for batch in batches:
             found: dict[str, list[np.ndarray]] = {c: [] for c in names}
-            for rows in K.blocks(batch.column(len(kept))):
-                s = base_stats(rows)
-                words = s["n_words"]
-                s["base_failed"] = (words < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * words)
-                size = np.diff(rows.bounds)
-                logs = table[codes(rows)]
-                with np.errstate(all="ignore"):
-                    s["log_ppl"] = np.round(np.where(words > 0, -K.sums(logs, rows.bounds) / size, np.nan), 9)
-                for c in names:
-                    found[c].append(s[c])
+            for group in batched(K.blocks(batch.column(len(kept))), 1 if len(model) <= RESIDENT else 16):
+                for rows, logs in zip(group, _log_sums(group, model), strict=True):
+                    s = base_stats(rows)
+                    words = s["n_words"]
+                    s["base_failed"] = (words < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * words)
+                    with np.errstate(all="ignore"):
+                        s["log_ppl"] = np.round(np.where(words > 0, -logs / SCALE / np.diff(rows.bounds), np.nan), 9)
+                    for c in names:
+                        found[c].append(s[c])
             cols = [np.concatenate(found[c]) if found[c] else np.empty(0) for c in names]
             arrays = [pa.array(v, pa.float64(), mask=np.isnan(v)) if c == "log_ppl" else pa.array(v, pa.bool_() if c == "base_failed" else pa.int64()) for c, v in zip(names, cols, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], *arrays], [*kept, *names])
@@ -217,8 +342,7 @@ def bands(scored: DataFrame, lang_col: str = "lang", width: float = WIDTH, floor
 
 def with_quality(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
     """docs (or their columns keep) with the base counts, log_ppl, the band's low and high, and kept."""
-    got = count_ngrams(docs, text_col).toArrow().sort_by("code")  # at most 2**20 rows
-    model = train(got["code"].to_numpy().astype(np.int64), got["n"].to_numpy())
+    model = share(stash(train(stash(count_ngrams(docs, text_col), "grams")), "model"))
     keep = docs.columns if keep is None else keep
     both = list(dict.fromkeys([*keep, lang_col]))
     scored = stash(score(docs, model, both, text_col), "quality")

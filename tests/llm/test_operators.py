@@ -282,13 +282,57 @@ def test_quality_counts(spark, docs_of):
     assert quality.with_quality(docs_of(rows).limit(0)).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
+def brute_kneser_ney(texts, order):
+    """Probability of a byte after a context of up to order - 1 bytes, from dictionaries."""
+    tables = {order: Counter()}
+    for t in texts:
+        padded = " " * (order - 1) + t
+        tables[order].update(padded[i : i + order] for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    followers = {k: defaultdict(list) for k in tables}
+    for k, t in tables.items():
+        for g, n in t.items():
+            followers[k][g[:-1]].append(n)
+    cut = {k: quality.discounts(*[sum(n == j for n in t.values()) for j in (1, 2, 3, 4)]) for k, t in tables.items()}
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / 256
+        after = followers[k].get(gram[:-1])
+        if not after:
+            return p(gram[1:])
+        n, d = tables[k][gram], cut[k]
+        return (n - d[min(n, 3)] + sum(d[min(x, 3)] for x in after) * p(gram[1:])) / sum(after)
+
+    return p, tables[order]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_kneser_ney(spark, docs_of, monkeypatch, many):
     rng = np.random.default_rng(1)
-    text = bytes(rng.choice(list(b"aabbbccd e\n"), 4000).tolist())
-    code = np.bincount(quality.codes(kernels.Rows(np.frombuffer(text, np.uint8), np.array([0, len(text)]))), minlength=quality.SIZE)
-    seen = np.flatnonzero(code)
-    p = np.exp(quality.log_table(quality.train(seen, code[seen]))).reshape(-1, 32)
-    assert np.allclose(p.sum(1), 1, atol=1e-9)
+    texts = ["".join(rng.choice(list("aabbbccd e\n"), size).tolist()) for size in (1, 3, 900, 0, 2500, 900)]
+    if many:  # several parts and blocks, read in turn
+        for name, to in (("PART_BYTES", 500), ("PART_GRAMS", 50), ("BLOCK_GRAMS", 300), ("RESIDENT", 1)):
+            monkeypatch.setattr(quality, name, to)
+    p, grams = brute_kneser_ney(texts, quality.ORDER)
+    assert all(abs(sum(p(g[:-1] + chr(b)) for b in range(256)) - 1) < 1e-9 for g in list(grams)[:20])
+    docs = docs_of(list(enumerate([*texts, None])))
+    parts = quality.stash(quality.count_ngrams(docs))
+    blocks = quality.share(quality.stash(quality.train(parts)))
+    assert len(blocks) > 4 if many else len(blocks) == 1
+    got = {int(g): int(x) for b in blocks for g, x in zip(*b.value, strict=True)}
+    assert len(got) == len(grams)
+    for g in grams:
+        assert abs(got[int.from_bytes(g.encode(), "big")] / quality.SCALE - np.log(p(g))) < 1e-5
+    for r in quality.score(docs, blocks, ["doc_id"]).collect():
+        t = texts[r["doc_id"]] if r["doc_id"] < len(texts) else ""
+        pad = " " * 5 + t
+        if t.split():
+            assert abs(r["log_ppl"] + sum(np.log(p(pad[i : i + 6])) for i in range(len(t))) / len(t)) < 1e-5
+        else:
+            assert r["log_ppl"] is None
 
 
 def test_junk_is_rejected(docs_of):
