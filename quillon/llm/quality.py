@@ -14,7 +14,7 @@ Nothing about it is capped: it holds every six-gram of the corpus and grows with
    memory, and beyond that read them in turn for each 16 MB of text. Each gram is in exactly one block.
 
 A document's log perplexity (nats a byte) is compared with bands of its language: quartiles of all documents of that
-language that pass the base rules, widened by ``width`` times the spread between the quartiles (at least ``floor``).
+language that pass the base rules, widened by ``width`` times the spread between the quartiles (taken as at least ``floor``, for clean text of which the corpus holds copies to stay).
 Quartiles come from exact counts over bins of 0.001, so they do not depend on partitioning. Documents outside the band
 are rejected, on either side.
 
@@ -51,7 +51,7 @@ RESIDENT = 4
 PARTS = "at long, size long, grams binary, counts binary, seen array<long>, pairs array<int>, follows array<long>"
 MODEL = "at long, size long, grams binary, logs binary"
 WIDTH = 4.0
-FLOOR = 0.02
+FLOOR = 0.1
 LEAST = 20
 MIN_WORDS = 50
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double"
