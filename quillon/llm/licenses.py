@@ -1,12 +1,12 @@
 """5. License scans by sentence rules.
 
-A text is split into sentences (at line ends of blank lines, and after . ; ! ? and white space), each is normalised (lower
-case, white space and comment marks folded, punctuation at the ends dropped), and each sentence that has a known wording
+A text is split into sentences (at line ends of blank lines, and after . ; ! ? and white space, but not within 'v. 2'), each is normalised (lower
+case, white space, quotes and comment marks folded, punctuation at the ends dropped), and each sentence that has a known wording
 gets a licence-sentence identifier. The sequence of identifiers of a text is then matched against ordered rules: a rule
 is a sequence of identifiers for one licence; at each place the first rule that fits wins and takes its identifiers. What
 no rule takes, but speaks of a licence, is reported as ``unknown``.
 
-A cheap pattern search skips texts that contain none of the cue words of the known sentences.
+A cheap pattern search skips texts and sentences that contain none of the cue words of the known sentences.
 
 Edge cases: a null or empty text, or one without known sentences, has no identifiers and no licences; repeated
 sentences count each, and licences are reported once; an empty table gives no rows. Extra columns stay in
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A text without any of these has no known sentence. Fixed values.
-CUES = r"(?i)licen[cs]|copyright|redistribut|permission|warrant|public domain|spdx|as is|creative commons|\bcc[ -](?:by|0)|\bgnu\b|damages|endorse"
+#: A text without any of these has no known sentence: each wording holds one. Single words, as line ends and comment marks may stand between two. Fixed values.
+CUES = r"(?i)licen[cs]|copyright|redistribut|permission|warrant|domain|spdx|commons|\bcc|bsd|endorse|advertising|misrepresented|reserved"
 
 #: Licence-sentence identifiers and their wordings in normalised sentences. Fixed values.
 SENTENCES = (
@@ -65,13 +65,13 @@ SENTENCES = (
     ("MozillaRef2", r"mozilla public licen[cs]e,? (?:version|v\.?) ?2(?:\.0)?"),
     ("EclipseRef2", r"eclipse public licen[cs]e,? (?:-|version|v\.?)? ?2(?:\.0)?"),
     ("EclipseRef1", r"eclipse public licen[cs]e,? (?:-|version|v\.?)? ?1(?:\.0)?"),
-    ("CcByNcSa", r"(?:cc[ -]by-nc-sa|creative commons attribution-?non-?commercial-?share-?alike)[ -]?(?P<name>[0-9.]*)"),
-    ("CcByNcNd", r"(?:cc[ -]by-nc-nd|creative commons attribution-?non-?commercial-?no-?deriv\w*)[ -]?(?P<name>[0-9.]*)"),
-    ("CcByNc", r"(?:cc[ -]by-nc|creative commons attribution-?non-?commercial)[ -]?(?P<name>[0-9.]*)"),
-    ("CcBySa", r"(?:cc[ -]by-sa|creative commons attribution-?share-?alike)[ -]?(?P<name>[0-9.]*)"),
-    ("CcByNd", r"(?:cc[ -]by-nd|creative commons attribution-?no-?deriv\w*)[ -]?(?P<name>[0-9.]*)"),
-    ("CcBy", r"(?:cc[ -]by|creative commons attribution)[ -]?(?P<name>[0-9.]*)"),
-    ("CcZero", r"cc0|creative commons zero"),
+    ("CcByNcSa", r"(?:\bcc[ -]by-nc-sa|creative commons attribution-?non-?commercial-?share-?alike)[ -]?(?P<name>[0-9.]*)"),
+    ("CcByNcNd", r"(?:\bcc[ -]by-nc-nd|creative commons attribution-?non-?commercial-?no-?deriv\w*)[ -]?(?P<name>[0-9.]*)"),
+    ("CcByNc", r"(?:\bcc[ -]by-nc|creative commons attribution-?non-?commercial)[ -]?(?P<name>[0-9.]*)"),
+    ("CcBySa", r"(?:\bcc[ -]by-sa|creative commons attribution-?share-?alike)[ -]?(?P<name>[0-9.]*)"),
+    ("CcByNd", r"(?:\bcc[ -]by-nd|creative commons attribution-?no-?deriv\w*)[ -]?(?P<name>[0-9.]*)"),
+    ("CcBy", r"(?:\bcc[ -]by|creative commons attribution)[ -]?(?P<name>[0-9.]*)"),
+    ("CcZero", r"\bcc0\b|creative commons zero"),
     ("UnlicenseGrant", r"free and unencumbered software released into the public domain"),
     ("PublicDomain", r"(?:placed|released|dedicated) (?:in|into|to) the public domain"),
     ("BoostRef", r"boost software licen[cs]e"),
@@ -96,12 +96,12 @@ RULES = (
     ("GPL-2.0", "GplRef2 [GplHope] [GplReceived]"),
     ("GPL", "GplTerms [GplHope] [GplReceived]"),
     ("GPL", "GplAny [GplHope] [GplReceived]"),
-    ("MIT", "MitGrant MitNotice [MitWarranty] [MitLiability]"),
+    ("MIT", "[Copyright] [AllRights] MitGrant MitNotice [MitWarranty] [MitLiability]"),
     ("MIT", "MitName"),
-    ("ISC", "IscGrant [IscWarranty]"),
-    ("BSD-4-Clause", "BsdGrant BsdSource BsdBinary BsdAdvert [BsdEndorse] [BsdWarranty]"),
-    ("BSD-3-Clause", "BsdGrant BsdSource BsdBinary BsdEndorse [BsdWarranty]"),
-    ("BSD-2-Clause", "BsdGrant BsdSource BsdBinary [BsdWarranty]"),
+    ("ISC", "[Copyright] [AllRights] IscGrant [IscWarranty]"),
+    ("BSD-4-Clause", "[Copyright] [AllRights] BsdGrant BsdSource BsdBinary BsdAdvert [BsdEndorse] [BsdWarranty]"),
+    ("BSD-3-Clause", "[Copyright] [AllRights] BsdGrant BsdSource BsdBinary BsdEndorse [BsdWarranty]"),
+    ("BSD-2-Clause", "[Copyright] [AllRights] BsdGrant BsdSource BsdBinary [BsdWarranty]"),
     ("BSD-3-Clause", "BsdName3"),
     ("BSD-2-Clause", "BsdName2"),
     ("MPL-2.0", "MozillaRef2"),
@@ -116,7 +116,7 @@ RULES = (
     ("CC0-1.0", "CcZero"),
     ("Unlicense", "UnlicenseGrant"),
     ("BSL-1.0", "BoostRef"),
-    ("Zlib", "ZlibWarranty ZlibOrigin"),
+    ("Zlib", "[Copyright] [AllRights] ZlibWarranty ZlibOrigin"),
     ("public-domain", "PublicDomain"),
     ("spdx", "SpdxLine"),
     ("proprietary", "[Copyright] AllRights"),
@@ -124,8 +124,9 @@ RULES = (
 )
 
 _MARKS = re.compile(r"^[\s/*#;%!>-]+", re.M)
-_SPLIT = re.compile(r"\n\s*\n|(?<=[.;!?])\s+|\s+\|\s+")
+_SPLIT = re.compile(r"\n\s*\n|(?<=[.;!?])(?<![\s,][vV]\.)\s+|\s+\|\s+")
 _SPACE = re.compile(r"\s+")
+_QUOTES = re.compile("[\"'`\u2018\u2019\u201c\u201d]+")
 _KNOWN = [(name, re.compile(wording)) for name, wording in SENTENCES]
 _STEPS = [(name, [(x.strip("[]"), x[0] == "[") for x in rule.split()]) for name, rule in RULES]
 
@@ -133,7 +134,7 @@ _STEPS = [(name, [(x.strip("[]"), x[0] == "[") for x in rule.split()]) for name,
 def normalise(text: str) -> list[str]:
     """The normalised sentences of a text that hold a cue word."""
     text = _MARKS.sub("", text)
-    found = (_SPACE.sub(" ", s).strip(" .,;:!?*#/").lower() for s in _SPLIT.split(text))
+    found = (_QUOTES.sub('"', _SPACE.sub(" ", s)).strip(" .,;:!?*#/").lower() for s in _SPLIT.split(text))
     return [s for s in found if s and re.search(CUES, s)]
 
 

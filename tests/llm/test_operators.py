@@ -215,6 +215,50 @@ def test_licenses(docs_of):
     assert {x for _, steps in licenses._STEPS for x, _ in steps} <= {n for n, _ in licenses.SENTENCES}
 
 
+#: A text for each wording.
+WORDINGS = {
+    "SpdxLine:mit": "SPDX-License-Identifier: MIT", "ApacheRef2": "Licensed under the Apache License, Version 2.0", "ApacheCompliance": "you may not use this file except in compliance with the License",
+    "ApacheCopy": "You may obtain a copy of the License at", "ApacheWarranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an 'AS IS' BASIS",
+    "ApacheLanguage": "See the License for the specific language governing permissions and limitations", "AffermoRef3": "GNU Affero General Public License, version 3", "LesserRef3": "GNU Lesser General Public License, version 3",
+    "LesserRef21": "GNU Lesser General Public License, version 2.1", "LibraryRef2": "GNU Library General Public License, version 2", "GplRef3Later": "GNU General Public License, either version 3 of it, or (at your option) any later version",
+    "GplRef2Later": "GNU General Public License, either version 2 of it, or any later version", "GplRef3": "GNU General Public License, version 3", "GplRef2": "GNU General Public License v2",
+    "GplTerms": "redistribute it and/or modify it under the terms of the GNU General Public License", "GplHope": "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "GplReceived": "You should have received a copy of the GNU General Public License",
+    "GplAny": "the GNU General Public License", "MitName": "Released under the MIT License", "MitGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "MitNotice": "The above copyright notice and this permission notice shall be included", "MitWarranty": "THE SOFTWARE IS PROVIDED ``AS IS'', WITHOUT WARRANTY OF ANY KIND", "MitLiability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE",
+    "IscGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose", "IscWarranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES', "BsdName3": "Released under the new BSD", "BsdName2": "use it under the 2-clause BSD",
+    "BsdGrant": "Redistribution and use in source and binary forms, with or without modification, are permitted", "BsdSource": "Redistributions of source code must retain the above copyright notice", "BsdBinary": "Redistributions in binary form must reproduce the above copyright notice",
+    "BsdEndorse": "may be used to endorse or promote products derived from this software", "BsdAdvert": "All advertising materials mentioning features or use of this software must display", "BsdWarranty": "THIS SOFTWARE IS PROVIDED BY THE REGENTS 'AS IS' AND ANY EXPRESS OR IMPLIED WARRANTIES",
+    "MozillaRef2": "Mozilla Public License, v. 2.0", "EclipseRef2": "Eclipse Public License - 2.0", "EclipseRef1": "Eclipse Public License v1.0", "CcByNcSa:4.0": "CC BY-NC-SA 4.0", "CcByNcNd:4.0": "CC BY-NC-ND 4.0", "CcByNc:4.0": "CC BY-NC 4.0", "CcBySa:4.0": "CC BY-SA 4.0",
+    "CcByNd:4.0": "CC-BY-ND-4.0", "CcBy": "Creative Commons Attribution", "CcZero": "Released under CC0", "UnlicenseGrant": "free and unencumbered software released into the public domain", "PublicDomain": "placed in the public domain", "BoostRef": "Boost Software License",
+    "ZlibWarranty": "This software is provided 'as-is', without any express or implied warranty", "ZlibOrigin": "The origin of this software must not be misrepresented", "AllRights": "All rights reserved", "Copyright": "Copyright (c) 2020", "SomeLicense": "licensed under",
+}
+
+
+def test_every_wording_and_rule_is_reached(docs_of):
+    assert {x.partition(":")[0] for x in WORDINGS} == {n for n, _ in licenses.SENTENCES}
+    rows = [(i, text) for i, text in enumerate(WORDINGS.values())]
+    rows += [(1000 + i, " * " + text.replace(" ", "\n * ") + ".\n") for i, text in rows]
+    got = {r["doc_id"]: list(r["sentences"]) for r in licenses.scan_licenses(docs_of(rows)).collect()}
+    for i, name in enumerate(WORDINGS):
+        assert got[i] == [name], name
+        assert got[1000 + i] == [name], name
+    texts = {x.partition(":")[0]: text for x, text in WORDINGS.items()}
+    versions = {x.partition(":")[0]: x.partition(":")[2] for x in WORDINGS}
+    for licence, steps in licenses._STEPS:
+        for names in ([x for x, _ in steps], [x for x, optional in steps if not optional]):
+            more = next((versions[x] for x in names if versions[x]), "")
+            want = more if licence == "spdx" else f"{licence}-{more}" if more else licence
+            assert licenses.scan_text(". ".join(texts[x] for x in names) + ".")[1] == [want], (licence, names)
+
+
+def test_licences_without_old_cues():
+    assert licenses.scan_text("Some text.\nAll rights reserved.\nMore text.")[1] == ["proprietary"]
+    assert licenses.scan_text("Released under CC0.")[1] == ["CC0-1.0"]
+    assert licenses.scan_text("compiled with gcc by hand, checksum a1cc0f, copyright of none") == ([], [])
+    assert licenses.scan_text("Copyright (c) 1990 X. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted. Redistributions of source code must retain the above copyright notice. Redistributions in binary form must reproduce the above copyright notice. All advertising materials mentioning features or use of this software must display this. The name may not be used to endorse or promote products derived from this software.")[1] == ["BSD-4-Clause"]
+    assert licenses.scan_text("This software is provided 'as-is', without any express or implied warranty. The origin of this software must not be misrepresented; you must not claim it.")[1] == ["Zlib"]
+
+
 # -- 6 toxicity
 
 
