@@ -1,17 +1,24 @@
 """7. Quality rules: n-gram perplexity, with language-specific upper and lower bands.
 
 The language model is a modified Kneser-Ney model of order 6 over bytes (A-Z lower-cased; spaces stand before a row).
-Nothing about it is capped: it holds every six-gram of the corpus and grows with it.
+Nothing about it is capped: it holds every six-gram of what it is trained on and grows with it.
+
+Documents are dealt to two folds by the least hash of their windows of five words, so equal and nearly equal texts mostly
+share one, and each document is scored by the model of the other fold: its own words and its copies do not make it likely.
+Texts that fail the base rules train nothing. Junk that passes them would still make junk likely, so ROUNDS models are
+trained in turn: each but the first leaves out what the one before put further than TRIM spreads outside the quartiles of
+its language. Left out texts are known by 64-bit hashes, broadcast in blocks. All texts are scored, whatever trained.
 
 1. Counting. Every task sorts the six-grams of its rows a block at a time and emits distinct ones with counts; Spark
-   deals them by the last two bytes of their context and sums them. So the grams of a part, and their shorter suffixes
+   deals them by fold and the last two bytes of their context and sums them. So the grams of a part, and their shorter suffixes
    down to order 3, have all that their counts, contexts and continuations need in that part, whatever its size.
 2. Training. Counts of counts are summed over the parts for the discounts, and the grams of order 2 (at most 2**16)
    and 1 come to the driver. Then each part computes its probabilities by itself: sorted arrays of grams and of log
    probabilities (fixed point, so that sums do not depend on their order).
 3. Scoring. The driver reads the parts BLOCK_GRAMS grams at a time, sorts them and broadcasts them, one block after
    the other. Workers look up the distinct grams of their rows by binary search; they keep up to RESIDENT blocks in
-   memory, and beyond that read them in turn for each 16 MB of text. Each gram is in exactly one block.
+   memory, and beyond that read them in turn for each 16 MB of text. Each gram is in exactly one block, with its
+   suffixes and its contexts' weights; a gram that the model lacks backs off to the longest suffix that it has.
 
 A document's log perplexity (nats a byte) is compared with bands of its language: quartiles of all documents of that
 language that pass the base rules, widened by ``width`` times the spread between the quartiles (taken as at least ``floor``, for clean text of which the corpus holds copies to stay).
@@ -49,10 +56,14 @@ PART_BYTES = 16 << 20
 BLOCK_GRAMS = 1 << 22
 RESIDENT = 4
 PARTS = "at long, size long, grams binary, counts binary, seen array<long>, pairs array<int>, follows array<long>"
-MODEL = "at long, size long, grams binary, logs binary"
+MODEL = "at long, size long, grams binary, logs binary, lower binary, lower_logs binary"
 WIDTH = 4.0
 FLOOR = 0.1
 LEAST = 20
+ROUNDS = 3
+TRIM = 0.5
+FOLD_WORDS = 5
+HELD_MARKS = 1 << 22
 MIN_WORDS = 50
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double"
 
@@ -87,8 +98,29 @@ def tally(grams: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
 
 
 def _key(grams: np.ndarray) -> np.ndarray:
-    """The last LOW bytes of a gram's context: equal for grams that share a context or a suffix of order above LOW."""
-    return (grams >> BITS) & ((1 << (BITS * LOW)) - 1)
+    """The last LOW bytes of a gram's context: equal for grams that share a context or a suffix of order above LOW. Above them stands the fold."""
+    return (grams >> BITS) & ((1 << (BITS * LOW)) - 1) | (grams >> (BITS * ORDER)) << (BITS * LOW)
+
+
+def fold_of(rows: K.Rows) -> np.ndarray:
+    """0 or 1 for each row, by the least hash of its windows of words; fewer words than a window give all rows one fold."""
+    starts, ends = K.runs(K.NOT_SPACE[rows.data], rows.bounds)
+    at, row = K.within(K.row_of(starts, rows.bounds), FOLD_WORDS)
+    least = np.full(rows.n, 2**64 - 1, np.uint64)
+    if len(at):
+        np.minimum.at(least, row, K.windows(K.span_hash(K.prefix(rows.data), starts, ends), FOLD_WORDS)[at])
+    return (K.mix(least) & np.uint64(1)).astype(np.int64)
+
+
+def marks(rows: K.Rows) -> np.ndarray:
+    """A hash of each row's text."""
+    return K.span_hash(K.prefix(rows.data), rows.bounds[:-1], rows.bounds[1:]).view(np.int64)
+
+
+def pick(rows: K.Rows, take: np.ndarray) -> K.Rows:
+    """The rows for which take holds."""
+    n = np.diff(rows.bounds)
+    return K.Rows(rows.data[np.repeat(take, n)], np.concatenate(([0], np.cumsum(n[take]))), rows.first)
 
 
 def levels(grams: np.ndarray, counts: np.ndarray, lowest: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -105,8 +137,25 @@ def counts_of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
 
 
-def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """PARTS: the six-grams of all documents with their counts, each part with all grams of its keys."""
+def count_ngrams(docs: DataFrame, text_col: str = "text", folds: bool = False, left_out: list[Broadcast] | None = None) -> DataFrame:
+    """PARTS: the six-grams of all documents with their counts, each part with all grams of its keys.
+
+    With folds, of the documents that pass the base rules and are not left out, and each fold has its own parts.
+    """
+
+    def trained(rows: K.Rows) -> K.Rows:
+        take = ~base_failed(base_stats(rows))
+        own = marks(rows)
+        for block in left_out or []:
+            take &= ~_has(block.value, own)
+            _let_go(block, len(left_out or []))
+        return pick(rows, take)
+
+    def grams_of(rows: K.Rows) -> np.ndarray:
+        if not folds:
+            return codes(rows)
+        rows = trained(rows)
+        return codes(rows) | np.repeat(fold_of(rows), np.diff(rows.bounds)) << (BITS * ORDER)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -122,7 +171,7 @@ def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for batch in batches:
             for rows in K.blocks(batch.column(0)):
-                held.append(tally(codes(rows)))
+                held.append(tally(grams_of(rows)))
                 size += len(held[-1][0])
                 if size > HOLD:
                     held = [merged()]
@@ -146,7 +195,9 @@ def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
         while at < len(grams):  # a part has whole keys
             later = edges[edges >= at + PART_GRAMS]
             to = int(later[0]) if len(later) else len(grams)
-            part = tally(grams[at:to], n[at:to])
+            split = int(np.searchsorted(key, 1 << (BITS * LOW)))  # and one fold
+            to = min(to, split) if at < split else to
+            part = tally(grams[at:to] & ((1 << (BITS * ORDER)) - 1), n[at:to])
             tables = levels(*part, LOW + 1)
             pairs, follows = tally(tables[0][0] & ((1 << (BITS * LOW)) - 1))
             seen = [x for _, counts in tables for x in counts_of_counts(counts)]
@@ -179,18 +230,41 @@ def estimate(grams: np.ndarray, counts: np.ndarray, cut: np.ndarray, below: np.n
     return (counts - d) / whole[at] + (np.bincount(at, d) / whole)[at] * below
 
 
+def escapes(grams: np.ndarray, counts: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted contexts and the weight that each leaves to the order below."""
+    context, at = np.unique(grams >> BITS, return_inverse=True)
+    return context, np.bincount(at, cut[np.minimum(counts, 3)], len(context)) / np.bincount(at, counts, len(context))
+
+
 def low_orders(pairs: np.ndarray, follows: np.ndarray) -> np.ndarray:
-    """Probability of the last byte of each pair of bytes that occurs, by pair; 0 elsewhere."""
+    """Probability of the last byte of each pair of bytes after the first, by pair."""
     (one, n_one), (two, n_two) = levels(pairs, follows, 1)
-    p = np.zeros(1 << BITS)
-    p[one] = estimate(one, n_one, discounts(*counts_of_counts(n_one)), np.full(len(one), 1 / (1 << BITS)))
-    out = np.zeros(1 << (BITS * LOW))
-    out[two] = estimate(two, n_two, discounts(*counts_of_counts(n_two)), p[two & 0xFF])
+    p = np.full(1 << BITS, 1 / (1 << BITS))
+    if len(one):
+        cut = discounts(*counts_of_counts(n_one))
+        seen = estimate(one, n_one, cut, p[one])
+        p *= escapes(one, n_one, cut)[1]
+        p[one] = seen
+    cut = discounts(*counts_of_counts(n_two))
+    left = np.ones(1 << BITS)
+    context, weight = escapes(two, n_two, cut)
+    left[context] = weight
+    out = (left[:, None] * p[None, :]).ravel()
+    out[two] = estimate(two, n_two, cut, p[two & 0xFF])
     return out
 
 
+def _tag(kind: int, order: int, grams: np.ndarray) -> np.ndarray:
+    """Places of a block's lower table: grams of an order (kind 0) and the contexts of grams of an order (kind 1)."""
+    return grams | (kind << 4 | order) << (BITS * ORDER)
+
+
+def _logs(p: np.ndarray) -> np.ndarray:
+    return np.round(np.log(p) * SCALE).astype(np.int32)
+
+
 def train(parts: DataFrame) -> DataFrame:
-    """MODEL: for each part its sorted grams and their log probabilities, times SCALE and rounded."""
+    """MODEL: for each part its sorted grams and their log probabilities, times SCALE and rounded, and its lower table; at -1 the logs of all pairs."""
     orders = range(LOW + 1, ORDER + 1)
     seen = parts.select(*[F.sum(F.col("seen")[i]).cast("double") for i in range(4 * len(orders))]).first()
     cuts = [discounts(*[x or 0.0 for x in seen[4 * i : 4 * i + 4]]) for i in range(len(orders))]
@@ -202,40 +276,90 @@ def train(parts: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 grams, counts = (np.frombuffer(row[c], np.int64) for c in ("grams", "counts"))
-                p, above = base, None
+                p, above, tags, values = base, None, [], []
                 for order, cut, (g, n) in zip(orders, cuts, levels(grams, counts, LOW + 1), strict=True):
                     suffix = g & ((1 << (BITS * (order - 1))) - 1)
                     p = estimate(g, n, cut, p[suffix] if above is None else p[np.searchsorted(above, suffix)])
                     above = g
-                logs = np.round(np.log(p) * SCALE).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([row["at"]]), pa.array([row["size"]]), pa.array([row["grams"]], pa.binary()), pa.array([logs.tobytes()], pa.binary())], ["at", "size", "grams", "logs"])
+                    if order < ORDER:
+                        tags.append(_tag(0, order, g))
+                        values.append(_logs(p))
+                    context, weight = escapes(g, n, cut)
+                    tags.append(_tag(1, order, context))
+                    values.append(_logs(weight))
+                held = [row["grams"], _logs(p).tobytes(), np.concatenate(tags).tobytes(), np.concatenate(values).tobytes()]
+                size = row["size"] + sum(map(len, tags))
+                yield pa.RecordBatch.from_arrays([pa.array([row["at"]]), pa.array([size]), *[pa.array([x], pa.binary()) for x in held]], ["at", "size", "grams", "logs", "lower", "lower_logs"])
+
+    pairs = parts.sparkSession.createDataFrame([(-1, 0, b"", bytearray(_logs(base).tobytes()), b"", b"")], MODEL)
+    return parts.select("at", "size", "grams", "counts").mapInArrow(of, MODEL).unionByName(pairs)
+
+
+class Model(list):
+    """Broadcast blocks of six-grams; lower has for each which keys it holds and its broadcast lower table, pairs the logs of all pairs of bytes."""
+
+    def __init__(self, pairs: np.ndarray):
+        super().__init__()
+        self.pairs, self.lower = pairs, []
 
-    return parts.select("at", "size", "grams", "counts").mapInArrow(of, MODEL)
+    def drop(self) -> None:
+        for x in [*self, *[x for _, x in self.lower]]:
+            x.destroy()
 
 
-def share(model: DataFrame) -> list[Broadcast]:
+def share(model: DataFrame) -> Model:
     """The model as broadcast blocks of sorted arrays; the driver holds one block at a time (a part is at most one key larger than PART_GRAMS)."""
-    sizes = model.select("at", "size").orderBy("at").collect()  # at most 2**16 rows
-    out, begin = [], 0
+    sizes = model.select("at", "size").where("at >= 0").orderBy("at").collect()  # at most 2**16 rows
+    out, begin = Model(np.frombuffer(model.where("at = -1").first()["logs"], np.int32).astype(np.int64)), 0
+    context = model.sparkSession.sparkContext
     while begin < len(sizes):
         end, n = begin, 0
         while end < len(sizes) and (end == begin or n + sizes[end][1] <= BLOCK_GRAMS):
             n += sizes[end][1]
             end += 1
-        got = model.where(F.col("at").between(sizes[begin][0], sizes[end - 1][0])).select("grams", "logs").toArrow()
-        grams = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in got["grams"]])
-        logs = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in got["logs"]])
-        order = np.argsort(grams)
-        out.append(model.sparkSession.sparkContext.broadcast((grams[order], logs[order])))
+        got = model.where(F.col("at").between(sizes[begin][0], sizes[end - 1][0])).select("grams", "logs", "lower", "lower_logs").toArrow()
+        tables = []
+        for keys, values in (("grams", "logs"), ("lower", "lower_logs")):
+            keys, values = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in got[c]]) for c, kind in ((keys, np.int64), (values, np.int32)))
+            order = np.argsort(keys)
+            tables.append((keys[order], values[order]))
+        out.append(context.broadcast(tables[0]))
+        holds = np.zeros(1 << (BITS * LOW), bool)
+        holds[_key(tables[0][0])] = True
+        out.lower.append((holds, context.broadcast(tables[1])))
         begin = end
     return out
 
 
-#: Log probability, times SCALE, of a gram that the model lacks; the corpus that it was trained on has none.
-UNSEEN = round(np.log(1 / (1 << BITS)) * SCALE)
+def _place(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in sorted, not empty values, and whether they are there."""
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return at, known[at] == x
+
+
+def _has(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return _place(known, x)[1]
+
+
+def _let_go(block: Broadcast, n: int) -> None:
+    """Of more blocks than RESIDENT, each is read again from the executor's copy for the next group."""
+    if n > RESIDENT and getattr(block, "_path", None):
+        vars(block).pop("_value", None)
 
 
-def _log_sums(group: list[K.Rows], blocks: list[Broadcast]) -> list[np.ndarray]:
+def _back_off(grams: np.ndarray, value: np.ndarray, known: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Logs of grams that the model lacks, from those of their last pairs: the longest suffix in the lower table, and the weights of longer contexts."""
+    for order in range(LOW + 1, ORDER + 1):
+        suffix = grams & ((1 << (BITS * order)) - 1)
+        at, there = _place(known, _tag(1, order, suffix >> BITS))
+        value = np.where(there, value + logs[at], value)
+        if order < ORDER:
+            at, there = _place(known, _tag(0, order, suffix))
+            value = np.where(there, logs[at], value)
+    return value
+
+
+def _log_sums(group: list[K.Rows], model: Model) -> list[np.ndarray]:
     """Sums of the log probabilities of each row's grams, by block of rows."""
     found = []
     for rows in group:
@@ -246,15 +370,33 @@ def _log_sums(group: list[K.Rows], blocks: list[Broadcast]) -> list[np.ndarray]:
         which = np.empty(len(c), np.int32)
         which[order] = np.cumsum(first) - 1
         grams = grams[first]
-        found.append((grams, which, np.full(len(grams), UNSEEN, np.int64)))
-    for block in blocks:
+        found.append((grams, which, model.pairs[grams & ((1 << (BITS * LOW)) - 1)], _key(grams)))
+    for block, (holds, lower) in zip(model, model.lower, strict=True):
         known, logs = block.value
-        for grams, _, value in found:
-            at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            value[:] = np.where(known[at] == grams, logs[at], value)
-        if len(blocks) > RESIDENT and getattr(block, "_path", None):
-            vars(block).pop("_value", None)  # read again from the executor's copy for the next group
-    return [K.sums(value[which], rows.bounds) for rows, (_, which, value) in zip(group, found, strict=True)]
+        for grams, _, value, key in found:
+            own = np.flatnonzero(holds[key])
+            at, there = _place(known, grams[own])
+            value[own[there]] = logs[at[there]]
+            lacks = own[~there]
+            value[lacks] = _back_off(grams[lacks], value[lacks], *lower.value)
+        _let_go(block, len(model))
+        _let_go(lower, len(model))
+    return [K.sums(value[which], rows.bounds) for rows, (_, which, value, _) in zip(group, found, strict=True)]
+
+
+def _held_out_sums(group: list[K.Rows], models: tuple[Model, Model]) -> list[np.ndarray]:
+    """Sums of the log probabilities of each row's grams, by the model of its fold."""
+    out = [np.zeros(rows.n, np.int64) for rows in group]
+    folds = [fold_of(rows) for rows in group]
+    for i, model in enumerate(models):
+        part = [pick(rows, fold == i) for rows, fold in zip(group, folds, strict=True)]
+        for x, fold, got in zip(out, folds, _log_sums(part, model), strict=True):
+            x[fold == i] = got
+    return out
+
+
+def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
+    return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
 def base_stats(rows: K.Rows) -> dict[str, np.ndarray]:
@@ -301,23 +443,27 @@ def _repeated(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: list[Broadcast], keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns keep of docs, with the base counts, base_failed and log_ppl."""
-    names = [x.split()[0] for x in STATS.split(", ")]
+def score(docs: DataFrame, model: Model | tuple[Model, Model], keep: list[str], text_col: str = "text", mark: bool = False) -> DataFrame:
+    """Columns keep of docs, with the base counts, base_failed and log_ppl, by one model or by that of each fold; with mark, the texts' hashes as _mark."""
+    stats = STATS + ", _mark long" * mark
+    names = [x.split()[0] for x in stats.split(", ")]
     docs = docs.select(*[c for c in keep if c not in names], docs[text_col].alias("_text"))
     kept = docs.columns[:-1]
     schema = docs.drop("_text").schema
-    for x in STATS.split(", "):
+    for x in stats.split(", "):
         schema = schema.add(*x.split())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, list[np.ndarray]] = {c: [] for c in names}
-            for group in batched(K.blocks(batch.column(len(kept))), 1 if len(model) <= RESIDENT else 16):
-                for rows, logs in zip(group, _log_sums(group, model), strict=True):
+            two = isinstance(model, tuple)
+            for group in batched(K.blocks(batch.column(len(kept))), 1 if max(map(len, model if two else [model])) <= RESIDENT else 16):
+                for rows, logs in zip(group, _held_out_sums(group, model) if two else _log_sums(group, model), strict=True):
                     s = base_stats(rows)
                     words = s["n_words"]
-                    s["base_failed"] = (words < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * words)
+                    s["base_failed"] = base_failed(s)
+                    if mark:
+                        s["_mark"] = marks(rows)
                     with np.errstate(all="ignore"):
                         s["log_ppl"] = np.round(np.where(words > 0, -logs / SCALE / np.diff(rows.bounds), np.nan), 9)
                     for c in names:
@@ -340,18 +486,46 @@ def bands(scored: DataFrame, lang_col: str = "lang", width: float = WIDTH, floor
     return out.select("_lang", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
 
 
+def _banded(scored: DataFrame, band: DataFrame, lang_col: str) -> DataFrame:
+    """scored with the low and high of its language, null where it has none, and inside."""
+    same = F.col(lang_col).eqNullSafe(F.col("_lang"))
+    few = len(band.select("_lang").take(4097)) <= 4096  # a language tag is a short string: a checked, small broadcast
+    out = scored.join(F.broadcast(band) if few else band, same, "left").drop("_lang")
+    return out.withColumn("inside", F.col("low").isNull() | F.col("log_ppl").between(F.col("low"), F.col("high")))
+
+
+def _share_marks(found: DataFrame) -> list[Broadcast]:
+    """The different _mark of found as broadcast sorted arrays of about HELD_MARKS."""
+    found = stash(found.select("_mark").distinct(), "marks")
+    n = found.count()
+    blocks = -(-n // HELD_MARKS)
+    each = (found.where(F.pmod("_mark", F.lit(blocks)) == i).toArrow()["_mark"].to_numpy() for i in range(blocks))
+    return [found.sparkSession.sparkContext.broadcast(np.sort(x)) for x in each if len(x)]
+
+
+def held_out_models(docs: DataFrame, left_out: list[Broadcast], text_col: str = "text") -> tuple[Model, Model]:
+    """For each fold the model of the other one."""
+    parts = stash(count_ngrams(docs, text_col, True, left_out), "grams")
+    zero, one = (share(stash(train(parts.where(F.shiftright("at", BITS * LOW) == 1 - fold)), "model")) for fold in (0, 1))
+    return zero, one
+
+
 def with_quality(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
     """docs (or their columns keep) with the base counts, log_ppl, the band's low and high, and kept."""
-    model = share(stash(train(stash(count_ngrams(docs, text_col), "grams")), "model"))
     keep = docs.columns if keep is None else keep
     both = list(dict.fromkeys([*keep, lang_col]))
-    scored = stash(score(docs, model, both, text_col), "quality")
+    left_out: list[Broadcast] = []
+    for _ in range(ROUNDS - 1):
+        models = held_out_models(docs, left_out, text_col)
+        rough = stash(score(docs, models, [lang_col], text_col, mark=True), "rough")
+        near = _banded(rough, stash(bands(rough, lang_col, TRIM, 0.0), "bands"), lang_col)
+        for x in (*left_out, *models):
+            x.drop() if isinstance(x, Model) else x.destroy()
+        left_out = _share_marks(near.where("NOT base_failed AND NOT inside"))
+    scored = stash(score(docs, held_out_models(docs, left_out, text_col), both, text_col), "quality")
     band = stash(bands(scored, lang_col, width), "bands")
-    same = F.col(lang_col).eqNullSafe(F.col("_lang"))
-    few = len(band.select("_lang").take(4097)) <= 4096  # a language tag is a short string: a checked, small broadcast
-    out = scored.join(F.broadcast(band) if few else band, same, "left")
-    inside = F.col("low").isNull() | F.col("log_ppl").between(F.col("low"), F.col("high"))
-    out = out.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang")
+    out = _banded(scored, band, lang_col)
+    out = out.withColumn("kept", ~F.col("base_failed") & F.col("inside")).drop("inside")
     return out if lang_col in keep else out.drop(lang_col)
 
 

@@ -388,6 +388,29 @@ def test_junk_is_rejected(docs_of):
     assert not got.pop(500) and all(got.values())
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_unseen_grams_back_off(spark, docs_of, monkeypatch, many):
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("aabbbccd e\n"), size).tolist()) for size in (900, 2500, 900)]
+    if many:
+        for name, to in (("PART_BYTES", 500), ("PART_GRAMS", 50), ("BLOCK_GRAMS", 300), ("RESIDENT", 1)):
+            monkeypatch.setattr(quality, name, to)
+    p, _ = brute_kneser_ney(texts, quality.ORDER)
+    model = quality.share(quality.stash(quality.train(quality.stash(quality.count_ngrams(docs_of(list(enumerate(texts))))))))
+    new = ["".join(rng.choice(list("abcdefg #"), 300).tolist()), "x", "abq ##"]
+    for r in quality.score(docs_of(list(enumerate(new))), model, ["doc_id"]).collect():
+        t = new[r["doc_id"]]
+        assert abs(r["log_ppl"] + sum(np.log(p((" " * 5 + t)[i : i + 6])) for i in range(len(t))) / len(t)) < 1e-5
+
+
+def test_labelled_junk_is_rejected_and_copies_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in quality.with_quality(docs, ["doc_id"]).where("NOT base_failed").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    junk, clean = ([got[i]["kept"] for i, q in labels.items() if q == want and i in got] for want in (0, 1))
+    assert sum(junk) < len(junk) / 2 and sum(clean) > 0.98 * len(clean), (sum(junk), len(junk), sum(clean), len(clean))
+
+
 # -- 8 repeats
 
 
