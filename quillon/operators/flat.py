@@ -77,6 +77,36 @@ def route(corpus: DataFrame, queries: DataFrame, bound: int) -> DataFrame:
     return out
 
 
+def above(corpus: DataFrame, bound: float) -> DataFrame:
+    """(qid, key, score): all ordered pairs of rows of different keys with a dot product above ``bound``; blocks of rows against each other."""
+    text = F.col("key").cast("string").alias("key")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                rows = matrix(batch.column(1)).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_pylist()], pa.list_(pa.string())), pa.array([rows], pa.binary())], ["keys", "rows"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qids, keys = (np.array(batch.column(c)[i].as_py(), object) for c in (0, 2))
+                q, v = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float32).reshape(len(ids), -1) for c, ids in ((1, qids), (3, keys)))
+                with np.errstate(all="ignore"):
+                    s = q.astype(np.float64) @ v.astype(np.float64).T
+                r, c = np.nonzero(s > bound - 1e-9 * max(1, abs(bound)))
+                for lo in range(0, len(r), ROWS):
+                    a, b = r[lo : lo + ROWS], c[lo : lo + ROWS]
+                    vectors = [pa.array(list(x), pa.list_(pa.float32())) for x in (q[a], v[b])]
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[a], pa.string()), vectors[0], pa.array(keys[b], pa.string()), vectors[1]], ["qid", "qv", "key", "vector"])
+
+    packs = corpus.select(text, "vector").mapInArrow(pack, "keys array<string>, rows binary")
+    pairs = packs.toDF("qids", "queries").crossJoin(packs)
+    near = pairs.mapInArrow(of, "qid string, qv array<float>, key string, vector array<float>").where("qid <> key")
+    return near.select("qid", "key", V.sanitize(V.dot(F.col("vector"), F.col("qv"))).alias("score")).where(F.col("score") > bound)
+
+
 def rerank(candidates: DataFrame, k: int) -> DataFrame:
     """Exact scores of candidates from their stored vectors, and the first k of each query."""
     scored = candidates.withColumn("score", V.sanitize(V.dot(F.col("vector"), F.col("qv"))))

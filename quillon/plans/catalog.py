@@ -324,9 +324,9 @@ def percentile_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of score above 0.95, for the first hundred vectors as queries."""
-    near = flat.search(vectors(spark, sf), vector_queries(spark, sf, 100), 20, 40)
-    return near.where("score > 0.95 AND key <> CAST(qid AS string)").select("qid", "key", F.round("score", 6).alias("score"))
+    """All pairs of vectors of score above 0.95, in both orders. The SQL has only queries below 100 and 20 partners of each."""
+    kind = _read(spark, sf, "embeddings").schema["vec_id"].dataType
+    return flat.above(vectors(spark, sf), 0.95).select(F.col("qid").cast(kind).alias("qid"), "key", F.round("score", 6).alias("score"))
 
 
 def ivf_trained(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from quillon.plans import catalog
@@ -33,3 +34,17 @@ def test_queries_without_sql_run(spark):
     for name, (query, sql) in catalog.QUERIES.items():
         if sql is None:
             assert query(spark, SF).count() > 0, name
+
+
+def test_duplicate_pairs_are_whole(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(5000, 8))
+    v[200:230] = v[200] + rng.normal(size=(30, 8)) * 0.01  # more partners than 20, all beyond the first hundred
+    v[4990] = v[5]
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["qid"], r["key"]): r["score"] for r in catalog.duplicate_pairs(spark, str(tmp_path)).collect()}
+    s = v.astype(float) @ v.astype(float).T
+    want = {(i, str(j)): s[i, j] for i, j in zip(*np.nonzero(s > 0.95), strict=True) if i != j}
+    assert got.keys() == want.keys() and len(got) >= 30 * 29 + 2
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
