@@ -201,7 +201,7 @@ def sort_block(text: np.ndarray, starts: np.ndarray, group: np.ndarray, length:
     order = np.argsort(cls, kind="stable")
     cls = cls[order]
     at = starts[order]
-    tails = [key(at, (length - 8 * (k + 1)) // 8) if (length - 8 * (k + 1)) % 8 == 0 else key(at + (length - 8 * (k + 1)) % 8, (length - 8 * (k + 1)) // 8) for k in range(-(-tail // 8))]
+    tails = [key(at + length - 8 * (k + 1), 0) for k in reversed(range(-(-tail // 8)))]  # in the order of the text
     repeated = np.zeros(len(at), bool)
     live = np.arange(len(at))
     rng = np.random.default_rng(1)
