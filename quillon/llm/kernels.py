@@ -57,6 +57,12 @@ class Rows:
         return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes()
 
 
+def pick(rows: Rows, take: np.ndarray) -> Rows:
+    """The rows for which take holds."""
+    n = np.diff(rows.bounds)
+    return Rows(rows.data[np.repeat(take, n)], np.concatenate(([0], np.cumsum(n[take]))), rows.first)
+
+
 def blocks(column, block: int = BLOCK) -> Iterator[Rows]:
     """Splits an Arrow string or binary array into blocks of whole rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

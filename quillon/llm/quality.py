@@ -117,12 +117,6 @@ def marks(rows: K.Rows) -> np.ndarray:
     return K.span_hash(K.prefix(rows.data), rows.bounds[:-1], rows.bounds[1:]).view(np.int64)
 
 
-def pick(rows: K.Rows, take: np.ndarray) -> K.Rows:
-    """The rows for which take holds."""
-    n = np.diff(rows.bounds)
-    return K.Rows(rows.data[np.repeat(take, n)], np.concatenate(([0], np.cumsum(n[take]))), rows.first)
-
-
 def levels(grams: np.ndarray, counts: np.ndarray, lowest: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted grams and counts by order, from lowest up; below the highest order a count is that of distinct continuations to the left."""
     out = [(grams, counts)]
@@ -149,7 +143,7 @@ def count_ngrams(docs: DataFrame, text_col: str = "text", folds: bool = False, l
         for block in left_out or []:
             take &= ~_has(block.value, own)
             _let_go(block, len(left_out or []))
-        return pick(rows, take)
+        return K.pick(rows, take)
 
     def grams_of(rows: K.Rows) -> np.ndarray:
         if not folds:
@@ -389,7 +383,7 @@ def _held_out_sums(group: list[K.Rows], models: tuple[Model, Model]) -> list[np.
     out = [np.zeros(rows.n, np.int64) for rows in group]
     folds = [fold_of(rows) for rows in group]
     for i, model in enumerate(models):
-        part = [pick(rows, fold == i) for rows, fold in zip(group, folds, strict=True)]
+        part = [K.pick(rows, fold == i) for rows, fold in zip(group, folds, strict=True)]
         for x, fold, got in zip(out, folds, _log_sums(part, model), strict=True):
             x[fold == i] = got
     return out

@@ -2,31 +2,41 @@
 
 Every byte that a ``length``-byte string covers is removed if that string also starts anywhere else, in any document.
 
-1. Buckets. A window's bucket is its anchor: the place of the smallest hash of a ``KGRAM``-byte string in it (the leftmost
+A text is read in one or two views, which share every stage: its bytes, with windows of ``length`` bytes, and, where
+``passage`` is given, its words (between ASCII white space) as four hashed bytes each, with windows of ``passage`` words.
+The second view counts the words of passages that occur anywhere else (``n_passage_words``); it removes nothing.
+
+1. Buckets. A window's bucket is its anchor: the place of the smallest hash of a ``kgram``-byte string in it (the leftmost
    of equals). Equal windows have equal anchors at equal offsets, so equal windows meet in one bucket, and a bucket's
    windows are known from the text around its anchor. Spark counts the anchors of all distinct texts; only anchors
    that occur twice or more go on. Identical contexts (the text around an anchor) are counted and merged first, with
-   partial sums, so a passage that a third of all rows share is one row here.
+   partial sums, so a passage that a third of all rows share is one row here. A context that itself occurs at two places
+   is a repeat as a whole.
 2. Blocks. Buckets are dealt by anchor hash and packed into blocks of at most ``block_bytes`` of context. In a block, the
-   suffixes at the places of a difference cover modulo ``V`` get ranks by doubling (compared up to ``SAMPLE`` bytes). Then
-   the block's windows are sorted: first by their first V bytes, and within ties by a three-way quicksort whose
+   suffixes at the places of a difference cover modulo ``V`` get ranks by doubling (compared up to ``length - V`` bytes).
+   Then the block's windows are sorted: first by their first V bytes, and within ties by a three-way quicksort whose
    comparison looks at the cover ranks at the first common cover place of the two suffixes, and the last bytes. Runs of
-   equal windows of two or more are the repeats. Memory is bounded by the block, not by the bucket: a bucket larger than
-   a block is not gathered at all; its windows are counted by hash in a distributed aggregation instead.
-   A context that itself occurs at two places is a repeat as a whole.
-3. Removal. Repeated ranges of windows are gathered for each distinct text, merged, and cut from it.
+   equal windows of two or more are the repeats.
+3. Large buckets. A bucket of more than ``block_bytes`` is split by what its windows hold besides the anchor: windows whose
+   anchor stands at one of the same BIN offsets share all but BIN - 1 of their bytes, the core, if they are equal, and the
+   core is the key of a smaller bucket. Cores that occur once go no further, the others' buckets are sorted as above. Only
+   where a core's bucket is still larger than a block, its windows go one by one to a distributed sort (a grouping) on the
+   bytes outside the core. So no task holds more than a block of a bucket, and no window is left out.
+4. Removal. Repeated ranges of windows are gathered for each distinct text, merged, and cut from it.
 
-Texts are told apart by a 128-bit hash. A text that two rows have is a repeat as a whole, if it is long enough.
+Texts are told apart by a 128-bit hash. A text that two rows have is a repeat as a whole, if it is long enough. Tables
+that are joined on a key with many rows are written first, so that both sides are plain shuffles, which Spark can split.
 
 Edge cases: null is empty, and a text shorter than ``length`` loses nothing; repeated rows, with equal or null ids
 too, count as copies of each other; an empty table gives no rows. Extra columns stay in ``remove_repeats``, which adds
-``n_bytes n_removed n_spans spans kept`` over columns of these names.
+``n_bytes n_removed n_spans n_passage_words spans kept`` over columns of these names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +45,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .store import stash
+from .store import drop, stash
 
 LENGTH = 400
-KGRAM = 48
+KGRAM = 96
+#: Words of a passage, and of the anchors in it.
+PASSAGE = 50
+PASSAGE_KGRAM = 12
+#: Bytes of a word in the view of words.
+CODE = 4
 V = 32
+BIN = 32
 #: A difference cover modulo 32: every difference of two residues occurs between two members. Fixed values.
 COVER = (0, 1, 2, 3, 7, 11, 19)
 BLOCK_BYTES = 1 << 20
@@ -58,27 +74,51 @@ def _cover_shift() -> np.ndarray:
 SHIFT = _cover_shift()
 
 
-def anchors(rows: K.Rows, length: int, kgram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class View:
+    """How texts are read: symbols of unit bytes, windows of length bytes, anchors of kgram bytes; 0 is the view of bytes."""
+
+    number: int
+    length: int
+    kgram: int
+    unit: int = 1
+
+    def read(self, rows: K.Rows) -> K.Rows:
+        """The rows in this view."""
+        if self.unit == 1:
+            return rows
+        starts, ends = K.runs(K.NOT_SPACE[rows.data], rows.bounds)
+        words = (K.span_hash(K.prefix(rows.data), starts, ends) >> np.uint64(32)).astype(np.uint32)
+        return K.Rows(words.view(np.uint8), K.row_of(starts, rows.bounds) * CODE, rows.first)
+
+    def read_text(self, text: bytes) -> bytes:
+        return self.read(K.Rows(np.frombuffer(text, np.uint8), np.array([0, len(text)]))).data.tobytes() if self.unit > 1 else text
+
+
+def views(length: int, kgram: int, passage: int | None) -> list[View]:
+    return [View(0, length, min(kgram, length)), *([View(1, passage * CODE, min(PASSAGE_KGRAM, passage) * CODE, CODE)] if passage else [])]
+
+
+def anchors(rows: K.Rows, view: View) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each anchor of each row: its hash, place, row, and the first and last window start that it anchors (places in the block)."""
     none = (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 4)
-    n = len(rows.data)
-    if n < length:
+    n, unit = len(rows.data), view.unit
+    if n < view.length:
         return none
     sums = K.prefix(rows.data)
-    places = np.arange(n - kgram + 1)
-    h = K.span_hash(sums, places, places + kgram)
-    w = length - kgram + 1
-    best = _window_argmin(h, w)  # best[s]: anchor of the window that starts at s
-    row = np.searchsorted(rows.bounds, np.arange(len(best)), "right") - 1
-    ok = np.arange(len(best)) + length <= rows.bounds[row + 1]
-    starts = np.flatnonzero(ok)
+    places = np.arange(0, n - view.kgram + 1, unit)
+    h = K.mix(K.span_hash(sums, places, places + view.kgram) + np.uint64(view.number))
+    best = _window_argmin(h, (view.length - view.kgram) // unit + 1)  # best[s]: anchor of the window that starts at s, in symbols
+    begin = np.arange(len(best)) * unit
+    row = np.searchsorted(rows.bounds, begin, "right") - 1
+    starts = np.flatnonzero(begin + view.length <= rows.bounds[row + 1])
     if not len(starts):
         return none
     at = best[starts]
     new = np.concatenate(([True], (at[1:] != at[:-1]) | (row[starts[1:]] != row[starts[:-1]])))
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:], [len(starts)])) - 1
-    return h[at[first]], at[first], row[starts[first]], starts[first], starts[last]
+    return h[at[first]], at[first] * unit, row[starts[first]], starts[first] * unit, starts[last] * unit
 
 
 def _window_argmin(h: np.ndarray, w: int) -> np.ndarray:
@@ -108,59 +148,127 @@ def text_id(text: bytes) -> bytes:
     return hashlib.md5(text, usedforsecurity=False).digest()
 
 
-ANCHORS = "anchor long, place long, text_id binary, off int, lo int, hi int"
-CONTEXTS = "anchor long, off int, place long, text_id binary, lo int, context_id binary, context binary"
+PLACE = ("view", "anchor", "place", "off", "lo", "hi")
+ANCHORS = "view int, anchor long, place long, text_id binary, off int, lo int, hi int"
+CONTEXTS = "view int, anchor long, off int, place long, text_id binary, lo int, context_id binary, context binary"
+KEYS = "bucket long, part long, context_id binary, bin int"
+SUBS = "view int, bucket long, off int, part long, context_id binary, shift int, sub_id binary, sub binary"
+ENDS = "bucket long, o int, rest binary, part long, sub_id binary, at int"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
 def _batch(schema: str, cols: list) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], [n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(cols, fields, strict=True)], [n for n, _ in fields])
+
 
+def _number(name: bytes) -> int:
+    """64 bits of a 128-bit hash."""
+    return int.from_bytes(name[:8], "little", signed=True)
 
-def _scan(texts: DataFrame, length: int, kgram: int) -> DataFrame:
+
+def _scan(texts: DataFrame, read: list[View]) -> DataFrame:
     """The anchors of each text, once a task for copies of a text: off = anchor - lo; lo and hi are window starts."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for rows in K.blocks(batch.column(0)):
-                h, at, row, lo, hi = anchors(rows, length, kgram)
-                ids = {i: text_id(rows.text(i)) for i in np.unique(row).tolist()}
-                use = np.zeros(rows.n, bool)
-                for i, name in ids.items():
-                    use[i] = name not in seen
+                ids = [text_id(rows.text(i)) for i in range(rows.n)]
+                fresh = np.zeros(rows.n, bool)
+                for i, name in enumerate(ids):
+                    fresh[i] = name not in seen
                     seen.add(name)
-                keep = use[row]
-                h, at, row, lo, hi = h[keep], at[keep], row[keep], lo[keep], hi[keep]
-                lead = np.zeros(rows.n, np.uint64)
-                for i, name in ids.items():
-                    lead[i] = int.from_bytes(name[:8], "little")
-                place = K.mix(lead[row] ^ K.mix((lo - rows.bounds[row]).astype(np.uint64)))
-                base = rows.bounds[row]
-                yield _batch(ANCHORS, [h.view(np.int64), place.view(np.int64), [ids[r] for r in row.tolist()], (at - lo).astype(np.int32), (lo - base).astype(np.int32), (hi - base).astype(np.int32)])
+                rows, ids = K.pick(rows, fresh), [x for x, f in zip(ids, fresh.tolist(), strict=True) if f]
+                lead = np.array([_number(x) for x in ids], np.int64).view(np.uint64)
+                names = pa.array(ids, pa.binary())
+                for view in read:
+                    seen_as = view.read(rows)
+                    h, at, row, lo, hi = anchors(seen_as, view)
+                    base = seen_as.bounds[row]
+                    place = K.mix(lead[row] ^ K.mix((lo - base).astype(np.uint64)))
+                    yield _batch(ANCHORS, [np.full(len(h), view.number, np.int32), h.view(np.int64), place.view(np.int64), names.take(pa.array(row)), (at - lo).astype(np.int32), (lo - base).astype(np.int32), (hi - base).astype(np.int32)])
 
     return texts.mapInArrow(of, ANCHORS)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], read: list[View]) -> Iterator[pa.RecordBatch]:
     """Rows (text_id, text, places) to the text around each of these anchors."""
     seen: set[bytes] = set()
     for batch in batches:
         out: list[list] = [[] for _ in CONTEXTS.split(", ")]
         for name, text, places in zip(*(batch.column(i) for i in range(3)), strict=True):
-            name, text = name.as_py(), text.as_py()
+            name = name.as_py()
             if name in seen:
                 continue
             seen.add(name)
-            for x in places.as_py():
-                context = text[x["lo"] : x["hi"] + length]
-                whole = text_id(context + x["off"].to_bytes(4, "little") + x["anchor"].to_bytes(8, "little", signed=True))
-                for c, v in zip(out, (x["anchor"], x["off"], x["place"], name, x["lo"], whole, context), strict=True):
-                    c.append(v)
+            text, places = text.as_py(), places.as_py()
+            for view in read:
+                mine = [x for x in places if x["view"] == view.number]
+                data = view.read_text(text) if mine else b""
+                for x in mine:
+                    context = data[x["lo"] : x["hi"] + view.length]
+                    whole = text_id(context + x["off"].to_bytes(4, "little") + x["anchor"].to_bytes(8, "little", signed=True))
+                    for c, v in zip(out, (view.number, x["anchor"], x["off"], x["place"], name, x["lo"], whole, context), strict=True):
+                        c.append(v)
         yield _batch(CONTEXTS, out)
 
 
+def bins(off: int, size: int, view: View) -> Iterator[tuple[int, int, int]]:
+    """(bin, from, to) for a context of size bytes with its anchor at off: the window starts from, ..., to whose anchor stands at an offset of the bin."""
+    for k in range(max(0, off - (size - view.length)) // BIN, off // BIN + 1):
+        yield k, max(0, -(-(off - BIN * k - BIN + 1) // view.unit) * view.unit), min(size - view.length, off - BIN * k)
+
+
+def core(context: bytes, off: int, k: int, view: View) -> bytes:
+    """What all windows of bin k hold: all but BIN - 1 of their bytes."""
+    at = off - BIN * k
+    return context[at : at - BIN + 1 + view.length]
+
+
+def _keys(batches: Iterator[pa.RecordBatch], read: list[View]) -> Iterator[pa.RecordBatch]:
+    """Rows (view, anchor, off, context_id, context) to the buckets of their cores."""
+    for batch in batches:
+        out: list[list] = [[] for _ in KEYS.split(", ")]
+        for number, anchor, off, name, context in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            view = read[number]
+            for k, _, _ in bins(off, len(context), view):
+                bucket = text_id(core(context, off, k, view) + anchor.to_bytes(8, "little", signed=True) + bytes((k % 256, k // 256)))
+                for c, v in zip(out, (_number(bucket), _number(name), name, k), strict=True):
+                    c.append(v)
+        yield _batch(KEYS, out)
+
+
+def _subs(batches: Iterator[pa.RecordBatch], read: list[View]) -> Iterator[pa.RecordBatch]:
+    """Rows (view, off, context_id, context, found) to the part of the context that the windows of each found (bin, bucket) span."""
+    for batch in batches:
+        out: list[list] = [[] for _ in SUBS.split(", ")]
+        for number, off, name, context, found in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            view, wanted = read[number], {x["bin"]: x["bucket"] for x in found}
+            for k, a, b in bins(off, len(context), view):
+                if k in wanted:
+                    sub = context[a : b + view.length]
+                    sub_id = text_id(sub + (off - a).to_bytes(4, "little") + wanted[k].to_bytes(8, "little", signed=True))
+                    for c, v in zip(out, (number, wanted[k], off - a, _number(name), name, a, sub_id, sub), strict=True):
+                        c.append(v)
+        yield _batch(SUBS, out)
+
+
+def _ends(batches: Iterator[pa.RecordBatch], read: list[View]) -> Iterator[pa.RecordBatch]:
+    """Rows (view, bucket, off, sub_id, sub) to their windows: the offset of the anchor, and the bytes outside the core."""
+    for batch in batches:
+        out: list[list] = [[] for _ in ENDS.split(", ")]
+        for number, bucket, off, name, sub in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            view = read[number]
+            for at in range(0, len(sub) - view.length + 1, view.unit):
+                o = off - at
+                inner = off - o // BIN * BIN
+                rest = sub[at:inner] + sub[inner - BIN + 1 + view.length : at + view.length]
+                for c, v in zip(out, (bucket, o, rest, _number(name), name, at), strict=True):
+                    c.append(v)
+        yield _batch(ENDS, out)
+
+
 def sort_block(text: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
     """True for each window (start in text) that equals another one of the same group.
 
@@ -241,131 +349,168 @@ def sort_block(text: np.ndarray, starts: np.ndarray, group: np.ndarray, length:
     return out
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], length: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, off, context_id, context), sorted by anchor, to (context_id, from, to): ranges of repeated windows."""
-    held: list[tuple[int, int, bytes, bytes]] = []
+def _ranges(batches: Iterator[pa.RecordBatch], read: list[View], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (view, bucket, off, id, bytes), sorted by view and bucket, to (id, from, to): ranges of repeated windows."""
+    held: list[tuple[int, int, int, bytes, bytes]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         ids, lo_, hi_ = [], [], []
-        if held:
-            text = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
-            sizes = np.array([len(x[3]) for x in held], np.int64)
-            base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            windows = sizes - length + 1
-            owner = np.repeat(np.arange(len(held)), windows)
-            within = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(windows)[:-1])), windows)
-            anchor = np.unique(np.array([x[0] for x in held]), return_inverse=True)[1]
-            off = np.array([x[1] for x in held])
-            group = anchor[owner] * length + off[owner] - within  # the same anchor at the same offset
-            hit = sort_block(text, base[owner] + within, group, length)
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                while a < b:  # a run may go on into the next context
-                    end = min(b, int(a - within[a] + windows[owner[a]]))
-                    ids.append(held[owner[a]][2])
-                    lo_.append(int(within[a]))
-                    hi_.append(int(within[end - 1]))
-                    a = end
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(lo_, pa.int32()), pa.array(hi_, pa.int32())], ["context_id", "from", "to"])
+        view = read[held[0][0]]
+        text = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
+        sizes = np.array([len(x[4]) for x in held], np.int64)
+        base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        windows = (sizes - view.length) // view.unit + 1
+        owner = np.repeat(np.arange(len(held)), windows)
+        within = (np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(windows)[:-1])), windows)) * view.unit
+        bucket = np.unique(np.array([x[1] for x in held]), return_inverse=True)[1]
+        off = np.array([x[2] for x in held])
+        group = bucket[owner] * view.length + off[owner] - within  # the same anchor at the same offset
+        hit = sort_block(text, base[owner] + within, group, view.length)
+        head = np.concatenate(([True], (owner[1:] != owner[:-1]) | ~hit[:-1]))
+        first = np.flatnonzero(hit & head)
+        tail = np.concatenate(((owner[1:] != owner[:-1]) | ~hit[1:], [True]))
+        last = np.flatnonzero(hit & tail)
+        ids = [held[i][3] for i in owner[first].tolist()]
+        lo_, hi_ = within[first].astype(np.int32), within[last].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(lo_), pa.array(hi_)], ["id", "from", "to"])
 
     last = None
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(4)]
-        for x in zip(*cols, strict=True):
-            if x[0] != last and size >= block_bytes:
+        for x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if held and (x[0] != held[0][0] or x[1] != last and size >= block_bytes):
                 yield flush()
                 held, size = [], 0
-            last = x[0]
+            last = x[1]
             held.append(x)
-            size += len(x[3])
+            size += len(x[4])
     if held:
         yield flush()
 
 
+RANGE = "id binary, from int, to int"
+
+
+def _sorted_ranges(sized: DataFrame, read: list[View], block_bytes: int) -> DataFrame:
+    """RANGE for rows (view, bucket, off, id, bytes) whose buckets fit in a block."""
+    dealt = sized.repartition("bucket").sortWithinPartitions("view", "bucket")
+    return dealt.select("view", "bucket", "off", "id", "bytes").mapInArrow(lambda it: _ranges(it, read, block_bytes), RANGE)
+
+
+def _loads(rows: DataFrame) -> DataFrame:
+    """Written (bucket, load, n): the bytes of each bucket of two or more rows."""
+    return stash(rows.groupBy("bucket").agg(F.sum(F.octet_length("bytes")).alias("load"), F.count(F.lit(1)).alias("n")).where("n > 1"), "loads")
+
+
+def _large_ranges(large: DataFrame, read: list[View], block_bytes: int) -> DataFrame:
+    """RANGE for rows (view, bucket, off, id, bytes) of buckets larger than a block."""
+    keys = stash(large.select("view", "bucket", "off", "id", "bytes").mapInArrow(lambda it: _keys(it, read), KEYS), "keys")
+    twice = stash(keys.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("bucket"), "twice")
+    found = stash(keys.join(twice, "bucket", "left_semi").groupBy("context_id").agg(F.collect_set(F.struct("bin", "bucket")).alias("found")), "found")
+    some = large.join(found, F.col("id") == F.col("context_id")).select("view", "off", "id", "bytes", "found")
+    subs = stash(some.mapInArrow(lambda it: _subs(it, read), SUBS), "subs")
+    merged = subs.groupBy("sub_id").agg(F.first("view").alias("view"), F.first("bucket").alias("bucket"), F.first("off").alias("off"), F.first("sub").alias("bytes"), (F.min("part") != F.max("part")).alias("again"))
+    merged = stash(merged.withColumnRenamed("sub_id", "id"), "merged")
+    sized = merged.join(_loads(merged), "bucket")
+    by_sort = _sorted_ranges(sized.where(F.col("load") <= block_bytes), read, block_bytes)
+    ends = stash(sized.where(F.col("load") > block_bytes).select("view", "bucket", "off", "id", "bytes").mapInArrow(lambda it: _ends(it, read), ENDS), "ends")
+    same = ["bucket", "o", "rest"]
+    again = stash(ends.groupBy(*same).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select(*same), "again")
+    by_ends = ends.join(again, same, "left_semi").select(F.col("sub_id").alias("id"), F.col("at").alias("from"), F.col("at").alias("to"))
+    ranges = by_sort.unionByName(by_ends).unionByName(_whole(merged, read))
+    placed = subs.select("sub_id", "context_id", "shift").distinct().join(ranges, F.col("sub_id") == F.col("id"))
+    return placed.select(F.col("context_id").alias("id"), (F.col("shift") + F.col("from")).alias("from"), (F.col("shift") + F.col("to")).alias("to"))
+
+
+def _whole(merged: DataFrame, read: list[View]) -> DataFrame:
+    """RANGE of what occurs at two places: all its windows."""
+    length = F.coalesce(*[F.when(F.col("view") == v.number, F.lit(v.length)) for v in read])
+    return merged.where("again").select("id", F.lit(0).alias("from"), (F.octet_length("bytes") - length).alias("to"))
+
+
 def with_text_id(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("text_id", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
 
 
-def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH, kgram: int = KGRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(text_id, ranges): for each distinct text the ranges [from, to] of window starts that occur at another place of the distinct texts."""
-    texts = docs.select(F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
-    found = stash(_scan(texts, length, kgram), "anchors")
-    twice = found.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("anchor")
-    hot = found.join(twice, "anchor", "left_semi").groupBy("text_id").agg(F.collect_set(F.struct("anchor", "place", "off", "lo", "hi")).alias("places"))
+def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGTH, kgram: int = KGRAM, block_bytes: int = BLOCK_BYTES, passage: int | None = None) -> DataFrame:
+    """(text_id, ranges): for each distinct text, by view, the ranges [from, to] of window starts that occur at another place of the distinct texts."""
+    read = views(length, kgram, passage)
+    texts = docs.select(F.col(text_col).alias("text")).where(F.octet_length("text") >= min(length, *([2 * passage - 1] if passage else [length])))
+    found = stash(_scan(texts, read), "anchors")
+    twice = stash(found.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("anchor"), "twice")
+    hot = stash(found.join(twice, "anchor", "left_semi").groupBy("text_id").agg(F.collect_set(F.struct(*PLACE)).alias("places")), "places")
+    drop(found)
     joined = with_text_id(texts).join(hot, "text_id").select("text_id", F.col("text").cast("binary").alias("text"), "places")
-    near = stash(joined.mapInArrow(lambda it: _contexts(it, length), CONTEXTS), "contexts")
-    merged = near.groupBy("context_id").agg(F.first("anchor").alias("anchor"), F.first("off").alias("off"), F.first("context").alias("context"), (F.min("place") != F.max("place")).alias("again"))
-    merged = stash(merged, "merged")
-    load = merged.groupBy("anchor").agg(F.sum(F.octet_length("context")).alias("bytes"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = merged.join(load, "anchor")
-    small = sized.where(F.col("bytes") <= block_bytes).select("anchor", "off", "context_id", "context")
-    small = small.repartition("anchor").sortWithinPartitions("anchor")
-    by_sort = small.mapInArrow(lambda it: _ranges(it, length, block_bytes), "context_id binary, from int, to int")
-    # a bucket beyond a block: its windows are counted one by one, spread over the cluster
-    large = sized.where(F.col("bytes") > block_bytes).select("context_id", "context").repartition("context_id")
-    windows = large.mapInArrow(lambda it: _hashes(it, length), "context_id binary, from int, hash binary")
-    again = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    by_hash = windows.join(again, "hash", "left_semi").select("context_id", "from", F.col("from").alias("to"))
-    alone = merged.where("again").select("context_id", F.lit(0).alias("from"), (F.octet_length("context") - length).alias("to"))
-    ranges = by_sort.unionByName(by_hash).unionByName(alone)
-    where = near.select("context_id", "text_id", "lo").distinct()
-    placed = where.join(ranges, "context_id").select("text_id", F.struct((F.col("lo") + F.col("from")).alias("from"), (F.col("lo") + F.col("to")).alias("to")).alias("r"))
-    return stash(placed.groupBy("text_id").agg(F.collect_set("r").alias("ranges")), "ranges")
-
-
-def _hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(context_id, from, 128-bit hash) of every window of each context."""
-    for batch in batches:
-        ids, at, out = [], [], []
-        for i, c in enumerate(batch.column(1).to_pylist()):
-            for a in range(len(c) - length + 1):
-                ids.append(batch.column(0)[i].as_py())
-                at.append(a)
-                out.append(text_id(c[a : a + length]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(at, pa.int32()), pa.array(out, pa.binary())], ["context_id", "from", "hash"])
-
-
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, kgram: int = KGRAM, block_bytes: int = BLOCK_BYTES, digest: bool = False) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, spans (byte spans [from, to)) and kept (the remaining bytes); with digest, kept_sha256 instead of the last two and of the text."""
-    ranges = repeated_ranges(docs, text_col, length, kgram, block_bytes)
+    near = stash(joined.mapInArrow(lambda it: _contexts(it, read), CONTEXTS), "contexts")
+    drop(hot)
+    merged = near.groupBy("context_id").agg(F.first("view").alias("view"), F.first("anchor").alias("bucket"), F.first("off").alias("off"), F.first("context").alias("bytes"), (F.min("place") != F.max("place")).alias("again"))
+    merged = stash(merged.withColumnRenamed("context_id", "id"), "merged")
+    where = stash(near.select("context_id", "view", "text_id", "lo").distinct(), "where")
+    drop(near)
+    loads = _loads(merged)
+    sized = merged.join(loads, "bucket")
+    ranges = _sorted_ranges(sized.where(F.col("load") <= block_bytes), read, block_bytes).unionByName(_whole(merged, read))
+    if not loads.where(F.col("load") > block_bytes).isEmpty():
+        ranges = ranges.unionByName(_large_ranges(stash(sized.where(F.col("load") > block_bytes).drop("load", "n"), "large"), read, block_bytes))
+    placed = where.join(ranges, F.col("context_id") == F.col("id")).select("text_id", F.struct("view", (F.col("lo") + F.col("from")).alias("from"), (F.col("lo") + F.col("to")).alias("to")).alias("r"))
+    out = stash(placed.groupBy("text_id").agg(F.collect_set("r").alias("ranges")), "ranges")
+    for x in (merged, where):
+        drop(x)
+    return out
+
+
+def _spans(found: list[tuple[int, int]]) -> list[list[int]]:
+    """Sorted maximal spans that cover the given ones."""
+    out: list[list[int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, kgram: int = KGRAM, block_bytes: int = BLOCK_BYTES, digest: bool = False, passage: int | None = None) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, spans (byte spans [from, to)) and kept (the remaining bytes); with digest, kept_sha256 instead of the last two and of the text; with passage, n_passage_words: words in passages of that many words that occur twice."""
+    read = views(length, kgram, passage)
+    ranges = repeated_ranges(docs, text_col, length, kgram, block_bytes, passage)
     named = with_text_id(docs, text_col)
-    copies = named.where(F.octet_length(text_col) >= length).groupBy("text_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_id", F.lit(True).alias("whole"))
-    info = ranges.join(copies, "text_id", "full_outer").select(F.col("text_id").alias("_text_id"), "ranges", "whole")
-    added = ["n_bytes", "n_removed", "n_spans", *(["kept_sha256"] if digest else ["spans", "kept"])]
+    copies = named.groupBy("text_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_id", F.lit(True).alias("whole"))
+    info = stash(ranges.join(copies, "text_id", "full_outer").select(F.col("text_id").alias("_text_id"), F.col("ranges").alias("_ranges"), F.coalesce("whole", F.lit(False)).alias("_whole")), "info")
+    added = ["n_bytes", "n_removed", "n_spans", *(["n_passage_words"] if passage else []), *(["kept_sha256"] if digest else ["spans", "kept"])]
     keep = [c for c in docs.columns if c not in added and not (digest and c == text_col)]
-    joined = named.join(info, F.col("text_id") == F.col("_text_id"), "left").select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("from"), (F.octet_length(text_col) - length).alias("to")))).otherwise(F.coalesce("ranges", F.array())).alias("_ranges"))
-    schema = joined.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
-    schema = schema.add("kept_sha256", "string") if digest else schema.add("spans", T.ArrayType(T.StructType().add("from", "long").add("to", "long"))).add("kept", "binary")
+    joined = named.join(info, F.col("text_id") == F.col("_text_id"), "left").select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.coalesce("_ranges", F.array()).alias("_ranges"), F.coalesce("_whole", F.lit(False)).alias("_whole"))
+    schema = joined.select(*keep).schema
+    for c in added:
+        schema = schema.add(c, {"kept_sha256": "string", "kept": "binary", "spans": T.ArrayType(T.StructType().add("from", "long").add("to", "long"))}.get(c, "long"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, removed, spans_, kept = [], [], [], []
-            for text, found in zip(batch.column(len(keep)), batch.column(len(keep) + 1), strict=True):
-                text, spans = text.as_py(), []
-                for a, b in sorted((x["from"], x["to"] + length) for x in found.as_py()):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], b)
-                    else:
-                        spans.append([a, b])
-                parts, at = [], 0
+            out: dict[str, list] = {c: [] for c in added}
+            for text, found, whole in zip(batch.column(len(keep)), batch.column(len(keep) + 1), batch.column(len(keep) + 2), strict=True):
+                text, found, whole = text.as_py(), found.as_py(), whole.as_py()
+                found = [[(x["from"], x["to"] + v.length) for x in found if x["view"] == v.number] for v in read]
+                if whole:
+                    found = [[(0, n)] if (n := len(v.read_text(text))) >= v.length else [] for v in read]
+                spans, parts, at = _spans(found[0]), [], 0
                 for a, b in spans:
                     parts.append(text[at:a])
                     at = b
                 rest = b"".join([*parts, text[at:]])
-                n_bytes.append(len(text))
-                removed.append(len(text) - len(rest))
-                spans_.append([{"from": a, "to": b} for a, b in spans])
-                kept.append(hashlib.sha256(rest).hexdigest() if digest else rest)
-            cols = [pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(x) for x in spans_], pa.int64())]
-            cols += [pa.array(kept, pa.string())] if digest else [pa.array(spans_, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *cols], schema.names)
+                row = {"n_bytes": len(text), "n_removed": len(text) - len(rest), "n_spans": len(spans)}
+                if passage:
+                    row["n_passage_words"] = sum(b - a for a, b in _spans(found[1])) // CODE
+                row |= {"kept_sha256": hashlib.sha256(rest).hexdigest()} if digest else {"spans": [{"from": a, "to": b} for a, b in spans], "kept": rest}
+                for c, v in row.items():
+                    out[c].append(v)
+            kinds = {"kept_sha256": pa.string(), "kept": pa.binary(), "spans": pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))}
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(out[c], kinds.get(c, pa.int64())) for c in added]], schema.names)
 
     return joined.mapInArrow(cut, schema)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), digest=True)
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), digest=True, passage=PASSAGE)
 
 
 QUERIES = {"op8_repeats": (op8_repeats, None)}

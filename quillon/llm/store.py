@@ -9,16 +9,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of this process's tables, below the shared folder.
+_OWN = f"quillon-{uuid.uuid4().hex}"
+
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests on one machine) a temporary folder."""
+    """The cluster's spark.checkpoint.dir. Only on one machine (master local) it may be unset: then a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="quillon-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = "file://" + own
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return f"{at.rstrip('/')}/{_OWN}"
 
 
 def stash(df: DataFrame, name: str = "t") -> DataFrame:
@@ -26,10 +31,21 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     at = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._quillon_at = at
+    return out
 
 
-def drop_stashes(spark: SparkSession) -> None:
-    """Deletes the folder's tables; call it when no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a stash that nothing reads any more."""
+    _delete(df.sparkSession, df._quillon_at)
+
+
+def drop_stashes(spark: SparkSession) -> None:
+    """Deletes all tables that this process has written, and nothing else; call it when no result that reads them is needed any more."""
+    _delete(spark, folder(spark))

@@ -431,15 +431,41 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 1500])
-def test_repeats(docs_of, block):
+def brute_passages(texts, passage):
+    words = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(w[i : i + passage]) for w in words for i in range(len(w) - passage + 1))
+    return [len({i + j for i in range(len(w) - passage + 1) if seen[tuple(w[i : i + passage])] > 1 for j in range(passage)}) for w in words]
+
+
+@pytest.mark.parametrize(("block", "passage"), [(1 << 20, 50), (1500, 20), (50, 20), (50, None)])
+def test_repeats(docs_of, block, passage):
     rng = random.Random(9)
     of = lambda n: "".join(rng.choice("abcd é") for _ in range(n))
-    passage, base = of(600), of(1500)
-    texts = [None, "", "short", of(900), base, base, base[:700] + "!" + base[701:], of(200) + passage + of(300), passage + of(50), "z" * 1200, of(100) + passage[:450] + of(100), of(500) * 2, passage[100:520]]
+    shared, base = of(600), of(1500)
+    texts = [None, "", "short", of(900), base, base, base[:700] + "!" + base[701:], of(200) + shared + of(300), shared + of(50), "z" * 1200, of(100) + shared[:450] + of(100), of(500) * 2, shared[100:520]]
+    texts += ["ab" * 400 + of(60), of(40) + "ba" * 350, "abc " * 250, of(30) + "bca " * 210 + of(420), ("x" * 31 + "y") * 30, "y" + ("x" * 31 + "y") * 20 + of(90)]
+    texts += [of(rng.randrange(1, 40)) + shared[:420] + of(rng.randrange(1, 40)) for _ in range(30)]  # a bucket of many contexts
     rows = [(i, t) for i, t in enumerate(texts)]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(docs_of(rows, clash=True), digest=True, block_bytes=block).collect()}
-    assert [got[i] for i in range(len(rows))] == brute_repeats(texts, 400)
+    found = {r["doc_id"]: r for r in repeats.remove_repeats(docs_of(rows, clash=True), digest=True, block_bytes=block, passage=passage).collect()}
+    got = [tuple(found[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i in range(len(rows))]
+    assert got == brute_repeats(texts, 400)
+    if passage:
+        assert [found[i]["n_passage_words"] for i in range(len(rows))] == brute_passages(texts, passage)
+
+
+def test_whole_table_of_repeats(spark):
+    """Every document of sf0.01 against the hashes of all its windows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    raw = [(r["text"] or "").encode() for r in rows]
+    seen = Counter(hash(t[i : i + 400]) for t in raw for i in range(len(t) - 399))
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(docs, digest=True).collect()}
+    for r, t in zip(rows, raw, strict=True):
+        cover = np.zeros(len(t) + 1, int)
+        at = np.flatnonzero([seen[hash(t[i : i + 400])] > 1 for i in range(len(t) - 399)])
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + 400, -1)
+        assert got[r["doc_id"]] == int((np.cumsum(cover) > 0).sum()), r["doc_id"]
 
 
 def test_repeats_general(docs_of):
@@ -453,7 +479,7 @@ def test_repeats_general(docs_of):
 def test_suffix_sort(length):
     rng = np.random.default_rng(length)
     parts = [rng.integers(97, 99, 500).astype(np.uint8) for _ in range(4)]
-    text = np.concatenate([*parts, parts[0], np.full(600, 97, np.uint8), parts[2][40:480]])
+    text = np.concatenate([*parts, parts[0], np.full(600, 97, np.uint8), parts[2][40:480], np.tile(parts[1][:37], 20), np.tile(parts[1][5:37], 20), parts[3][:200], parts[3][200:]])
     starts = np.arange(len(text) - length + 1)
     group = rng.integers(0, 2, len(starts))
     raw = text.tobytes()
