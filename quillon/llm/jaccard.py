@@ -12,7 +12,9 @@ link when their sets' Jaccard similarity is at least ``percent`` hundredths, tes
    token union is stored: its shared tokens (the matrix, token by group) and the union of its shingles.
 4. Opening. Two linked classes share several tokens, at least as many as a class's spare parts allow; a class that shares
    fewer with all others is linked with none. Each class is a query to the other groups: its tokens in a group's union
-   bound the overlap, and only groups that reach that number are opened for it. There, a query's overlap with the
+   bound the overlap, and only groups that reach that number are opened for it. Tokens are joined group by group, never
+   class by class: two groups whose unions share as many tokens as any class needs are a pair, and the classes of a pair
+   are then matched in numpy. In an opened group, a query's overlap with the
    group's shingle union bounds the overlap with any member; only queries whose bound reaches the threshold go on, and
    their intersections are counted by matrix products. A group gives back a spanning forest of its links and, for each
    class, the number of linked documents; pairs of documents are never written.
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .store import stash
@@ -328,6 +331,25 @@ def _ids(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df.hint("merge")
 
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups (group, queries, union) to (short, group) for the classes that share as many tokens with the group as they need."""
+    for batch in batches:
+        shorts, groups = [], []
+        for i in range(len(batch)):
+            own = batch.column(1)[i].values
+            token, short, need = (own.field(k).to_numpy() for k in range(3))
+            known = np.sort(batch.column(2)[i].values.to_numpy())
+            hit = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] == token
+            names, at = np.unique(short, return_inverse=True)
+            least = np.zeros(len(names), np.int64)
+            least[at] = need
+            found = names[np.bincount(at[hit], minlength=len(names)) >= least]
+            shorts.append(found)
+            groups.append(np.full(len(found), batch.column(0)[i].as_py()))
+        if shorts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shorts), pa.int64()), pa.array(np.concatenate(groups), pa.int64())], ["short", "group"])
+
+
 def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_tokens: int) -> DataFrame:
     """(a, b, n) as in _links_batch, for the classes of scanned."""
     # short stands for the class here: two classes that share it are only grouped together
@@ -362,7 +384,9 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
                 yield pa.RecordBatch.from_arrays([*others, pa.array(out, pa.binary())], ["class", "group", "docs", "set"])
 
     sets = texts.mapInArrow(sets_of, "class binary, group long, docs long, set binary")
-    matrix = rows.join(grouped.select("short", "group"), "short").select("token", "group").distinct()
+    # the matrix: each group's tokens, with the class and the need that each belongs to
+    own_tokens = rows.select("token", "short").join(grouped.select("short", "group", "need"), "short")
+    matrix = stash(own_tokens.groupBy("group").agg(F.collect_list(F.struct("token", "short", "need")).alias("tokens")), "matrix")
     gathered = sets.repartition("group").groupBy("group").agg(F.collect_set(F.struct("class", "docs", "set")).alias("members"))
     groups = stash(gathered, "members")
 
@@ -378,11 +402,13 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
                 yield _links_batch(*open_pair(_load(x.as_py()), _load(y.as_py()), percent, False))
 
     own = groups.where("size(members) > 1").select("members").mapInArrow(inside, _LINKS)
-    # a class is a query to each earlier group whose union has as many of its tokens as a link needs
-    asked = rows.join(grouped.select("short", F.col("class").alias("query"), F.col("group").alias("home"), F.col("need").alias("least_need")), "short")
-    asked = asked.select("token", "query", "home", "least_need").join(matrix, "token").where("group < home")
-    asked = asked.groupBy("query", "group").agg(F.count(F.lit(1)).alias("common"), F.first("least_need").alias("least_need")).where("common >= least_need").select("query", "group")
-    asked = stash(asked, "asked")
+    # a group's classes are queries to each earlier group whose union has as many of their tokens as a link needs
+    union = stash(matrix.select("group", F.array_min("tokens.need").alias("least_need"), F.explode(F.array_distinct("tokens.token")).alias("token")), "unions")
+    pairs = union.select("token", "group").join(union.select("token", F.col("group").alias("home"), F.col("least_need").alias("home_need")), "token").where("group < home")
+    pairs = stash(pairs.groupBy("group", "home").agg(F.count(F.lit(1)).alias("common"), F.first("home_need").alias("home_need")).where("common >= home_need").select("group", "home"), "pairs")
+    pairs = pairs.join(matrix.select(F.col("group").alias("home"), F.col("tokens").alias("queries")), "home").join(matrix.select("group", F.col("tokens.token").alias("union")), "group").select("group", "queries", "union")
+    asked = stash(pairs.mapInArrow(_asked, "short long, group long"), "asked")
+    asked = stash(asked.join(grouped.select("short", F.col("class").alias("query")), "short").select("query", "group"), "asked")
     share = asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).alias("shares"))
     asked = asked.join(share, "group").select("query", F.col("group").alias("asked"), F.pmod(F.xxhash64("query"), F.col("shares")).alias("share"))
     one = groups.select(F.explode("members").alias("one")).select(F.col("one.class").alias("query"), "one")
@@ -414,8 +440,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = open_
 
 
-def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """(doc_id, class, n_shingles, component_id, n_links): a row for each document; class is null for empty sets."""
+def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, group_tokens: int = GROUP_TOKENS, with_root: bool = False) -> DataFrame:
+    """(doc_id, class, n_shingles, component_id, n_links): a row for each document; class is null for empty sets. root is a class that stands for the component."""
     scanned = stash(_scan(docs, n), "scanned")
     found = stash(links(docs, scanned, n, percent, group_tokens), "links")
     roots = components(found.where("b IS NOT NULL"))
@@ -423,22 +449,50 @@ def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, group_t
     per = scanned.where("class IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("one"))
     per = per.join(roots.withColumnRenamed("node", "class"), "class", "left").join(degree.withColumnRenamed("a", "class"), "class", "left")
     per = per.withColumn("root", F.coalesce("root", "class"))
+    per = stash(per, "roots")
     least = per.where("root <> class OR far IS NOT NULL").groupBy("root").agg(F.min("one").alias("component"))
-    per = stash(per.join(least, "root", "left").select(F.col("class").alias("_class"), F.coalesce("component", "one").alias("component_id"), (F.col("docs") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")), "classes")
+    per = stash(per.join(least, "root", "left").select(F.col("class").alias("_class"), "root", F.coalesce("component", "one").alias("component_id"), (F.col("docs") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")), "classes")
     out = scanned.select("doc_id", "class", "n_shingles").join(per, F.col("class") == F.col("_class"), "left")
-    return out.select("doc_id", "class", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(*(["root"] if with_root else []), "doc_id", "class", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _with_class(docs: DataFrame, n: int) -> DataFrame:
+    """docs with _quillon_class, null for empty sets."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names: list[bytes | None] = []
+            for rows in K.blocks(batch.column("text")):
+                sets, bounds = shingle_hashes(rows, n)
+                names += [class_id(sets[a:b]) if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, "_quillon_class"])
+
+    return docs.mapInArrow(of, T.StructType(list(docs.schema)).add("_quillon_class", "binary"))
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """docs without all but the document of least id of each component.
+    """docs without all but one row of each component: the one of the least doc_id (null is the greatest) and class.
 
-    Documents with empty sets or a null id stay. Of rows with equal id and text one stays.
+    An id that stands twice with unlinked texts is two documents. Rows with empty sets link with nothing and all stay.
     """
-    found = stash(jaccard_classes(docs, n, percent, group_tokens).select("doc_id", "component_id"), "kept")
-    gone = _ids(found.where("component_id <> doc_id").select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    found = jaccard_classes(docs, n, percent, group_tokens, with_root=True)
+    found = stash(found.groupBy("doc_id", "class", "root").agg(F.count(F.lit(1)).alias("rows")), "found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class"))
+    winner = stash(found.where("root IS NOT NULL").groupBy(F.col("root").alias("_root")).agg(first.alias("w")), "winners")
+    wins = F.col("w.class") == F.col("class")
+    stay = F.when(F.col("root").isNull(), F.col("rows")).when(wins & F.col("doc_id").eqNullSafe(F.col("w.doc_id")), 1).otherwise(0)
+    marked = stash(found.join(winner, F.col("root") == F.col("_root"), "left").select(F.col("doc_id").alias("_id"), F.col("class").alias("_class"), "rows", stay.alias("stay")), "marked")
+    ids = stash(marked.groupBy("_id").agg(F.sum("rows").alias("rows"), F.sum("stay").alias("stay")).where("stay < rows"), "touched")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = docs.join(_ids(ids.select("_id")), same, "left_anti")
+    mixed = stash(ids.where("stay > 0").select("_id"), "mixed")
+    if mixed.isEmpty():
+        return kept
+    # ids with rows of both kinds: their rows are told apart by class
+    rows = stash(_with_class(docs.join(_ids(mixed), same, "left_semi"), n), "rows")
+    won = marked.where("stay = 1 AND _class IS NOT NULL").select("_id", "_class")
+    one = rows.join(won, same & (F.col("_quillon_class") == F.col("_class")), "left_semi").dropDuplicates(["doc_id", "_quillon_class"])
+    return kept.unionByName(rows.where("_quillon_class IS NULL").unionByName(one).drop("_quillon_class"))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,49 @@ def test_keep_one(docs_of):
     rows = [(3, "a b c d e f"), (1, "a b c d e F"), (1, "a b c d e F"), (2, None), (4, "other words stand here now")]
     assert sorted(r["doc_id"] for r in jaccard.keep_one(docs_of(rows), 5, 80).collect()) == [1, 2, 4]
     assert jaccard.jaccard_classes(docs_of(rows).limit(0)).count() == 0
+    assert jaccard.keep_one(docs_of(rows).limit(0), 5, 80).count() == 0
+
+
+def test_keep_one_marks_rows_not_ids(docs_of):
+    """An id with a copy and a text of its own keeps the latter; null ids and clashing columns are rows like others."""
+    kept = lambda rows: sorted(((r["doc_id"], r["text"], r["component_id"]) for r in jaccard.keep_one(docs_of(rows, clash=True), 5, 80).collect()), key=str)
+    same, own = "a b c d e f", "other words stand here now"
+    assert kept([(1, same), (5, same), (5, own)]) == [(1, same, "x"), (5, own, "x")]
+    assert kept([(None, same), (None, same), (9, None), (7, None), (7, None)]) == [(7, None, "x"), (7, None, "x"), (9, None, "x"), (None, same, "x")]
+    assert kept([(2, same), (2, same), (2, own), (2, own), (None, own)]) == [(2, same, "x"), (2, own, "x")]
+
+
+def brute_kept(rows, percent):
+    """The rows that stay, from all pairs of sets."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    linked = [[bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b) for b in sets] for a in sets]
+    out, seen = [], set()
+    for i in sorted(range(len(rows)), key=lambda i: rows[i][0]):
+        if i not in seen:
+            out.append(rows[i])
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                todo += [j for j, y in enumerate(linked[x]) if y and j not in seen]
+                seen.update(j for j, y in enumerate(linked[x]) if y)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("group_tokens", [1 << 17, 400])
+def test_keep_one_of_families(docs_of, monkeypatch, group_tokens):
+    """One large family of near copies that fills many groups, beside small ones."""
+    monkeypatch.setattr(jaccard, "QUERIES_AT_ONCE", 3)
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for size, copies in ((120, 40), (60, 5), (200, 3), (40, 1)):
+        base = [rng.choice(words) for _ in range(size)]
+        for _ in range(copies):
+            t = list(base)
+            t[rng.randrange(size)] = rng.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    got = jaccard.keep_one(docs_of(rows), 5, 80, group_tokens).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == brute_kept(rows, 80)
 
 
 def test_long_chains(spark):
