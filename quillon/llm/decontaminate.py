@@ -9,12 +9,14 @@ large the benchmark grows: each block is one more pass over the rows, and passes
 
 Edge cases: a null or wordless text has no hits; a null item text has no windows; items with a null id count in the
 hits but not in the list of items; repeated items and repeated documents each count on their own (repeated item ids
-once); an empty benchmark or an empty table gives no hits and no rows. Extra columns stay untouched; a clash with an
-output name (``n_words n_hit items hits``) overwrites the input's column.
+once); an empty benchmark or an empty table gives no hits and no rows. Extra columns stay untouched; in
+``find_leaks`` a clash with an output name (``n_words n_hit items hits``) overwrites the input's column, and
+``decontaminate`` returns the input's columns as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,9 @@ from .store import stash
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+#: What a scan adds. It stands under reserved names until a result is named, so that columns of the input stay as they are.
+ADDED = {"n_words": "long", "n_hit": "long", "items": "array<string>", "hits": "array<struct<from:bigint,to:bigint>>"}
+RESERVED = "_quillon_"
 
 
 def _words(rows: K.Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +89,7 @@ def _pass(docs: DataFrame, grams: list[tuple[int, bytes, str | None]]) -> DataFr
         owners.setdefault(g, []).append(item)
     shared = spark.sparkContext.broadcast((_index(grams), owners))
     names = docs.columns
-    text_at, hits_at, items_at = names.index("text"), names.index("hits"), names.index("items")
+    text_at, hits_at, items_at = names.index("text"), names.index(f"{RESERVED}hits"), names.index(f"{RESERVED}items")
     schema = docs.schema
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +122,7 @@ def _pass(docs: DataFrame, grams: list[tuple[int, bytes, str | None]]) -> DataFr
                     items.append(sorted(own.get(i, set()) | set(items_in[rows.first + i].as_py() or [])))
                     n_words.append(int(wb[i + 1] - wb[i]))
                     n_hit.append(sum(b - a for a, b in spans))
-            cols = {"hits": hits, "items": items, "n_words": n_words, "n_hit": n_hit}
+            cols = {RESERVED + c: x for c, x in (("hits", hits), ("items", items), ("n_words", n_words), ("n_hit", n_hit))}
             arrow = batch.schema
             yield pa.RecordBatch.from_arrays([pa.array(cols[x], arrow.field(i).type) if x in cols else batch.column(i) for i, x in enumerate(names)], schema=arrow)
 
@@ -134,12 +139,12 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, n_hit (words inside a hit), items (ids whose windows occur) and hits (word spans [from, to))."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int) -> DataFrame:
+    """docs with what ADDED names, under reserved names."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + int(size) * n // (block_bytes * n)
     grams = item_windows(benchmark, n).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts)))
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "hits": F.array().cast("array<struct<from:bigint,to:bigint>>")})
+    out = docs.withColumns({RESERVED + c: (F.lit(0) if kind == "long" else F.array()).cast(kind) for c, kind in ADDED.items()})
     if parts > 1:
         grams = stash(grams, "grams")
     for part in range(parts):
@@ -151,13 +156,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_byt
     return out
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with n_words, n_hit (words inside a hit), items (ids whose windows occur) and hits (word spans [from, to))."""
+    return _leaks(docs, benchmark, n, block_bytes).drop(*ADDED).withColumnsRenamed({RESERVED + c: c for c in ADDED})
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove: str = "documents", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Removes what leaks: whole ``documents`` with a hit, or only the ``spans`` of text from hit word to hit word."""
     names = docs.columns
-    found = find_leaks(docs, benchmark, n, block_bytes)
+    found = _leaks(docs, benchmark, n, block_bytes)
     if remove == "documents":
-        return found.where("n_hit = 0").select(*names)
-    at = found.columns.index("text"), found.columns.index("hits")
+        return found.where(f"{RESERVED}n_hit = 0").select(*names)
+    at = found.columns.index("text"), found.columns.index(f"{RESERVED}hits")
     kept = docs.schema
     keep = [found.columns.index(x) for x in names]
 

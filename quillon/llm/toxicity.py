@@ -131,8 +131,8 @@ def fit(sets: list[np.ndarray], label: np.ndarray, weight: np.ndarray, features:
 
 
 def train(docs: DataFrame, labels: DataFrame, per: int = PER, label_col: str = "toxic") -> Model:
-    """A model from at most about per documents of each label."""
-    known = labels.where(f"doc_id IS NOT NULL AND {label_col} IS NOT NULL").select("doc_id", F.col(label_col).cast("int").alias("_y"))
+    """A model from at most about per documents of each label. A label of 1 or more counts as toxic, any other number as harmless, null as no label."""
+    known = labels.where("doc_id IS NOT NULL").select("doc_id", (F.col(label_col).cast("double") >= 1).cast("int").alias("_y")).where("_y IS NOT NULL")
     sizes = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     few = F.broadcast(stratified(known, "_y", "doc_id", per))  # at most about per rows a label
 
@@ -154,12 +154,14 @@ def train(docs: DataFrame, labels: DataFrame, per: int = PER, label_col: str = "
     return fit([table["words"][i].values.to_numpy().view(np.uint64) for i in pick.tolist()], label, weight)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """docs (or their columns keep) with severity, p_toxic, grade (the likeliest) and rejected."""
-    added = ("severity", "p_toxic", "grade", "rejected")
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs (or their columns keep) with severity, p_toxic, grade (the likeliest) and rejected, each name after a prefix."""
+    added = [prefix + c for c in ("severity", "p_toxic", "grade", "rejected")]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     rows_ = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = docs.select(*keep).schema.add("severity", "double").add("p_toxic", "double").add("grade", "integer").add("rejected", "boolean")
+    schema = docs.select(*keep).schema
+    for c, kind in zip(added, ("double", "double", "integer", "boolean"), strict=True):
+        schema = schema.add(c, kind)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +189,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col
     return rows_.mapInArrow(of, schema)
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs without the rejected ones; their columns stay as they are, whatever their names."""
+    return score(docs, model, text_col=text_col, prefix="_quillon_").where("NOT _quillon_rejected").select(*docs.columns)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ["doc_id"])
