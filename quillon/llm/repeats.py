@@ -197,20 +197,23 @@ def _contexts(batches: Iterator[pa.RecordBatch], read: list[View]) -> Iterator[p
     seen: set[bytes] = set()
     for batch in batches:
         out: list[list] = [[] for _ in CONTEXTS.split(", ")]
-        for name, text, places in zip(*(batch.column(i) for i in range(3)), strict=True):
-            name = name.as_py()
+        begin = batch.column(2).offsets.to_numpy()
+        number, anchor, place, off, lo, hi = (batch.column(2).values.field(x).to_numpy() for x in PLACE)
+        for i, (name, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
             if name in seen:
                 continue
             seen.add(name)
-            text, places = text.as_py(), places.as_py()
+            text = text.as_py()
             for view in read:
-                mine = [x for x in places if x["view"] == view.number]
-                data = view.read_text(text) if mine else b""
-                for x in mine:
-                    context = data[x["lo"] : x["hi"] + view.length]
-                    whole = text_id(context + x["off"].to_bytes(4, "little") + x["anchor"].to_bytes(8, "little", signed=True))
-                    for c, v in zip(out, (view.number, x["anchor"], x["off"], x["place"], name, x["lo"], whole, context), strict=True):
-                        c.append(v)
+                at = begin[i] + np.flatnonzero(number[begin[i] : begin[i + 1]] == view.number)
+                if not len(at):
+                    continue
+                data, n = view.read_text(text), len(at)
+                around = [data[a:b] for a, b in zip(lo[at].tolist(), (hi[at] + view.length).tolist(), strict=True)]
+                marks = np.rec.fromarrays([off[at], anchor[at]], dtype=[("off", "<i4"), ("anchor", "<i8")]).tobytes()
+                ids = [text_id(c + marks[12 * k : 12 * k + 12]) for k, c in enumerate(around)]
+                for c, v in zip(out, ([view.number] * n, anchor[at], off[at], place[at], [name] * n, lo[at], ids, around), strict=True):
+                    c.extend(v)
         yield _batch(CONTEXTS, out)
 
 
@@ -445,6 +448,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     drop(hot)
     merged = near.groupBy("context_id").agg(F.first("view").alias("view"), F.first("anchor").alias("bucket"), F.first("off").alias("off"), F.first("context").alias("bytes"), (F.min("place") != F.max("place")).alias("again"))
     merged = stash(merged.withColumnRenamed("context_id", "id"), "merged")
+    drop(twice)
     where = stash(near.select("context_id", "view", "text_id", "lo").distinct(), "where")
     drop(near)
     loads = _loads(merged)
@@ -477,6 +481,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     named = with_text_id(docs, text_col)
     copies = named.groupBy("text_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_id", F.lit(True).alias("whole"))
     info = stash(ranges.join(copies, "text_id", "full_outer").select(F.col("text_id").alias("_text_id"), F.col("ranges").alias("_ranges"), F.coalesce("whole", F.lit(False)).alias("_whole")), "info")
+    drop(ranges)
     added = ["n_bytes", "n_removed", "n_spans", *(["n_passage_words"] if passage else []), *(["kept_sha256"] if digest else ["spans", "kept"])]
     keep = [c for c in docs.columns if c not in added and not (digest and c == text_col)]
     joined = named.join(info, F.col("text_id") == F.col("_text_id"), "left").select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.coalesce("_ranges", F.array()).alias("_ranges"), F.coalesce("_whole", F.lit(False)).alias("_whole"))
@@ -487,11 +492,14 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in added}
-            for text, found, whole in zip(batch.column(len(keep)), batch.column(len(keep) + 1), batch.column(len(keep) + 2), strict=True):
-                text, found, whole = text.as_py(), found.as_py(), whole.as_py()
-                found = [[(x["from"], x["to"] + v.length) for x in found if x["view"] == v.number] for v in read]
+            begin = batch.column(len(keep) + 1).offsets.to_numpy()
+            number, lo, hi = (batch.column(len(keep) + 1).values.field(x).to_numpy() for x in ("view", "from", "to"))
+            for i, (text, whole) in enumerate(zip(batch.column(len(keep)), batch.column(len(keep) + 2).to_pylist(), strict=True)):
+                text, mine = text.as_py(), slice(begin[i], begin[i + 1])
                 if whole:
                     found = [[(0, n)] if (n := len(v.read_text(text))) >= v.length else [] for v in read]
+                else:
+                    found = [list(zip(lo[mine][at].tolist(), (hi[mine][at] + v.length).tolist(), strict=True)) for v in read for at in [number[mine] == v.number]]
                 spans, parts, at = _spans(found[0]), [], 0
                 for a, b in spans:
                     parts.append(text[at:a])

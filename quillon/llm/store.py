@@ -42,8 +42,12 @@ def _delete(spark: SparkSession, at: str) -> None:
 
 
 def drop(df: DataFrame) -> None:
-    """Deletes the table of a stash that nothing reads any more."""
+    """Deletes the table of a stash that nothing reads any more.
+
+    Spark removes the shuffle files of finished jobs only when the driver's JVM collects their handles, so that is asked for.
+    """
     _delete(df.sparkSession, df._quillon_at)
+    df.sparkSession._jvm.System.gc()
 
 
 def drop_stashes(spark: SparkSession) -> None:
