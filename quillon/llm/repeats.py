@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .store import drop, stash
+from .store import drop, free, stash
 
 LENGTH = 400
 KGRAM = 96
@@ -441,6 +441,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", length: int = LENGT
     texts = docs.select(F.col(text_col).alias("text")).where(F.octet_length("text") >= min(length, *([2 * passage - 1] if passage else [length])))
     found = stash(_scan(texts, read), "anchors")
     twice = stash(found.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("anchor"), "twice")
+    free(docs.sparkSession)
     hot = stash(found.join(twice, "anchor", "left_semi").groupBy("text_id").agg(F.collect_set(F.struct(*PLACE)).alias("places")), "places")
     drop(found)
     joined = with_text_id(texts).join(hot, "text_id").select("text_id", F.col("text").cast("binary").alias("text"), "places")

@@ -41,13 +41,15 @@ def _delete(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the table of a stash that nothing reads any more.
+def free(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs; it does so only when the driver's JVM collects their handles."""
+    spark._jvm.System.gc()
+
 
-    Spark removes the shuffle files of finished jobs only when the driver's JVM collects their handles, so that is asked for.
-    """
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a stash that nothing reads any more, and frees shuffle files."""
     _delete(df.sparkSession, df._quillon_at)
-    df.sparkSession._jvm.System.gc()
+    free(df.sparkSession)
 
 
 def drop_stashes(spark: SparkSession) -> None:
