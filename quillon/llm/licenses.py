@@ -1,8 +1,9 @@
 """5. License scans by sentence rules.
 
 A text is split into sentences (at line ends of blank lines, and after . ; ! ? and white space, but not within 'v. 2'), each is normalised (lower
-case, white space, quotes and comment marks folded, punctuation at the ends dropped), and each sentence that has a known wording
-gets a licence-sentence identifier. The sequence of identifiers of a text is then matched against ordered rules: a rule
+case, white space, quotes and comment marks folded, punctuation at the ends dropped), and each sentence is mapped to the
+licence-sentence identifiers of the known wordings that it holds, in their order; of wordings that overlap the first in the
+table counts. A sentence that comes again is looked up, not read again. The sequence of identifiers of a text is then matched against ordered rules: a rule
 is a sequence of identifiers for one licence; at each place the first rule that fits wins and takes its identifiers. What
 no rule takes, but speaks of a licence, is reported as ``unknown``.
 
@@ -15,6 +16,7 @@ sentences count each, and licences are reported once; an empty table gives no ro
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -74,6 +76,9 @@ SENTENCES = (
     ("CcZero", r"\bcc0\b|creative commons zero"),
     ("UnlicenseGrant", r"free and unencumbered software released into the public domain"),
     ("PublicDomain", r"(?:placed|released|dedicated) (?:in|into|to) the public domain"),
+    ("SpdxChoice", r"(?:(?<= or )|(?<= and ))(?P<name>(?:mit|apache-2\.0|bsd-[234]-clause|isc|mpl-2\.0|l?gpl-[23]\.[01](?:-only|-or-later)?))(?![\w-])"),
+    ("ApacheBare", r"\bapache licen[cs]e,? ?(?:version|v) ?2(?:\.0)?"),
+    ("MitBare", r"\b(?:mit|expat) licen[cs]e"),
     ("BoostRef", r"boost software licen[cs]e"),
     ("ZlibWarranty", r"this software is provided \"?as-is\"?,? without any express or implied warranty"),
     ("ZlibOrigin", r"the origin of this software must not be misrepresented"),
@@ -118,9 +123,16 @@ RULES = (
     ("BSL-1.0", "BoostRef"),
     ("Zlib", "[Copyright] [AllRights] ZlibWarranty ZlibOrigin"),
     ("public-domain", "PublicDomain"),
+    ("Apache-2.0", "ApacheBare"),
+    ("MIT", "MitBare"),
     ("spdx", "SpdxLine"),
+    ("spdx", "SpdxChoice"),
     ("proprietary", "[Copyright] AllRights"),
     ("unknown", "SomeLicense"),
+    ("unknown", "MitGrant"),
+    ("unknown", "BsdGrant"),
+    ("unknown", "ZlibWarranty"),
+    ("unknown", "ApacheCompliance"),
 )
 
 _MARKS = re.compile(r"^[\s/*#;%!>-]+", re.M)
@@ -138,13 +150,18 @@ def normalise(text: str) -> list[str]:
     return [s for s in found if s and re.search(CUES, s)]
 
 
-def identify(sentence: str) -> str | None:
-    """The identifier of the first wording that the sentence has; a version or name that it gives follows a colon."""
+@functools.lru_cache(1 << 16)
+def identify(sentence: str) -> tuple[str, ...]:
+    """The identifiers of the wordings that the sentence has, by place; a version or name that one gives follows a colon."""
+    taken: list[tuple[int, int, str]] = []
     for name, wording in _KNOWN:
-        if m := wording.search(sentence):
-            more = (m.groupdict().get("name") or "").strip(".")
-            return f"{name}:{more}" if more else name
-    return None
+        if name == "SomeLicense" and taken:  # only where nothing else is known
+            break
+        for m in wording.finditer(sentence):
+            if all(m.end() <= a or b <= m.start() for a, b, _ in taken):
+                more = (m.groupdict().get("name") or "").strip(".")
+                taken.append((m.start(), m.end(), f"{name}:{more}" if more else name))
+    return tuple(x for _, _, x in sorted(taken))
 
 
 def match_rules(ids: list[str]) -> list[str]:
@@ -171,7 +188,7 @@ def match_rules(ids: list[str]) -> list[str]:
 
 def scan_text(text: str | None) -> tuple[list[str], list[str]]:
     """The identifiers and the different licences of a text, both in its order."""
-    ids = [x for s in normalise(text or "") if (x := identify(s))]
+    ids = [x for s in normalise(text or "") for x in identify(s)]
     return ids, list(dict.fromkeys(match_rules(ids)))
 
 
