@@ -22,6 +22,7 @@ from .operators import filters as P
 from .operators import flat, fusion, hnsw, ivf, keyword, mutations, quantize
 from .operators.topk import top
 from .sources import checkpoint
+from .sources.shared import shared_folder
 
 RECORDS = "key string, vector array<float>, meta map<string,string>, text string, expires_at timestamp"
 LOG = f"seq bigint, op string, {RECORDS}"
@@ -34,6 +35,8 @@ class SearchEngine:
         self.spark, self.cfg = spark, cfg.checked()
         self._log = spark.createDataFrame([], LOG)
         self._seq, self._open, self._index = 0, True, None
+        self._past: DataFrame | None = None  # keys seen before the last compaction
+        self._source: str | None = None  # the checkpoint that the log reads from
         self.counters = {"upserts": 0, "deletes": 0, "queries": 0}
         self.latencies_ms: list[float] = []
 
@@ -57,17 +60,26 @@ class SearchEngine:
         return mutations.live(self._log, ["seq"], as_of).select(*[x.split()[0] for x in RECORDS.split(", ")])
 
     def upsert(self, rows: DataFrame | list[dict], written: datetime | None = None) -> None:
-        """rows: key, vector, and optionally meta, text, and ttl_ms (from written) or expires_at. Replaces whole records."""
+        """rows: key, vector, and optionally meta, text, and ttl_ms (from written, which a ttl needs) or expires_at. Replaces whole records.
+
+        A list may name a key twice: its last row wins. A DataFrame has no order, so there a repeated key is refused.
+        """
         self._check()
+        if isinstance(rows, DataFrame) and (twice := rows.groupBy("key").count().where("count > 1").first()) is not None:
+            raise InvalidArgument(f"key {twice[0]} stands {twice[1]} times in one batch")
         if isinstance(rows, list):
+            rows = list({r["key"]: r for r in rows}.values())  # of one batch the last row of a key wins
             rows = self.spark.createDataFrame([(r["key"], [float(x) for x in r["vector"]], r.get("meta") or {}, r.get("text") or "", r.get("ttl_ms", -1)) for r in rows], "key string, vector array<float>, meta map<string,string>, text string, ttl_ms long")
         have = set(rows.columns)
         if "ttl_ms" in have and "expires_at" not in have:
-            rows = mutations.with_expiry(rows.withColumn("_w", F.lit(written or datetime.now())), "_w", "ttl_ms")
+            if written is None and not rows.where("ttl_ms >= 0").isEmpty():
+                raise InvalidArgument("ttl_ms needs the time that the rows were written")
+            rows = mutations.with_expiry(rows.withColumn("_w", F.lit(written).cast("timestamp")), "_w", "ttl_ms")
         add = {c: F.lit(None).cast(k) for c, k in (("meta", "map<string,string>"), ("text", "string"), ("expires_at", "timestamp")) if c not in rows.columns}
-        bad = rows.where(F.size("vector") != self.cfg.dim).select("key", F.size("vector")).first()
+        elements = F.coalesce(F.size("vector"), F.lit(-1))
+        bad = rows.where(F.col("key").isNull() | F.col("vector").isNull() | (elements != self.cfg.dim) | F.exists("vector", lambda x: x.isNull())).select("key", elements).first()
         if bad is not None:
-            raise InvalidArgument(f"vector of {bad[0]} has {bad[1]} elements, not {self.cfg.dim}")
+            raise InvalidArgument(f"key {bad[0]}: a key and a vector of {self.cfg.dim} elements without nulls are needed; it has {bad[1]} elements")
         vector = V.normalize(F.col("vector")) if self.cfg.similarity == "cosine" else F.col("vector")
         rows = rows.withColumns(add).withColumn("vector", vector)
         mutations.check_capacity(self.live(), rows, self.cfg.num_shards, self.cfg.max_points_per_shard)
@@ -79,7 +91,7 @@ class SearchEngine:
         self._check()
         if isinstance(keys, list):
             keys = self.spark.createDataFrame([(k,) for k in keys], "key string")
-        unseen = keys.join(self._log.select("key").distinct(), "key", "left_anti").first()
+        unseen = keys.join(self._seen(), "key", "left_anti").first()
         if unseen is not None:
             raise NotFound(unseen[0])
         null = {n: F.lit(None).cast(k) for n, k in (x.split() for x in RECORDS.split(", ")[1:])}
@@ -93,19 +105,26 @@ class SearchEngine:
         self._index = None
 
     def compact(self, as_of: datetime | None = None) -> None:
-        """Rewrites the log to its live view: cuts lineage, drops tombstones and expired rows."""
-        rows = self.live(as_of)
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/quillon-{uuid.uuid4().hex}"
-        at = f"{base.rstrip('/')}/log-{uuid.uuid4().hex}"
+        """Rewrites the log to its live view: cuts lineage, drops tombstones and expired rows. Keys once seen stay known."""
+        base = f"{shared_folder(self.spark)}/log-{uuid.uuid4().hex}"
         names = [x.split()[0] for x in LOG.split(", ")]
-        rows.withColumn("op", F.lit("upsert")).withColumn("seq", F.lit(0).cast("long")).select(*names).write.parquet(at)
-        self._log = self.spark.read.schema(LOG).parquet(at)
-
-    def exists(self, key: str) -> bool:
-        found = mutations.exists(self._log, key)
-        if found is None:
+        self._seen().write.parquet(f"{base}/seen")
+        self.live(as_of).withColumn("op", F.lit("upsert")).withColumn("seq", F.lit(0).cast("long")).select(*names).write.parquet(f"{base}/log")
+        self._log = self.spark.read.schema(LOG).parquet(f"{base}/log")
+        self._past = self.spark.read.schema("key string").parquet(f"{base}/seen")
+        self._source = None
+
+    def _seen(self) -> DataFrame:
+        """(key): every key that was ever written."""
+        keys = self._log.select("key")
+        return (keys if self._past is None else keys.union(self._past)).distinct()
+
+    def exists(self, key: str, as_of: datetime | None = None) -> bool:
+        self._check()
+        found = mutations.exists(self._log, key, as_of)
+        if found is None and self._seen().where(F.col("key") == key).isEmpty():
             raise NotFound(key)
-        return found
+        return bool(found)
 
     def get_vector(self, key: str, as_of: datetime | None = None) -> list[float]:
         row = self.live(as_of).where(F.col("key") == key).select("vector").first()
@@ -253,6 +272,9 @@ class SearchEngine:
     # -- checkpoints
 
     def save(self, path: str, overwrite: bool = False) -> dict:
+        """Writes a checkpoint; over the one that this engine was loaded from, the log is rewritten elsewhere first."""
+        if overwrite and self._source == path.rstrip("/"):
+            self.compact()
         return checkpoint.write(self.live(), self.cfg, path, overwrite=overwrite)
 
     @classmethod
@@ -260,6 +282,7 @@ class SearchEngine:
         cfg, tables = checkpoint.read(spark, path)
         out = cls(spark, cfg)
         out._append(tables["records"].withColumn("op", F.lit("upsert")))
+        out._source = path.rstrip("/")
         return out
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import idf, tokenize
+from ..functions.text import has_token, idf, tokenize
 from .topk import top
 
 
@@ -22,7 +22,7 @@ def postings(docs: DataFrame, shard: str | None = None) -> DataFrame:
 
 def statistics(docs: DataFrame, shard: str | None = None) -> DataFrame:
     """(n_docs) of the corpus, or (shard, n_docs)."""
-    some = docs.where(F.size(tokenize(F.col("text"))) > 0)
+    some = docs.where(has_token(F.col("text")))
     return (some.groupBy(shard) if shard else some.groupBy()).agg(F.count(F.lit(1)).alias("n_docs"))
 
 

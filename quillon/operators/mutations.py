@@ -48,10 +48,11 @@ def export(table: DataFrame, filters: dict[str, str] | None = None, as_of: datet
     return out.where(metadata(filters)) if filters else out
 
 
-def exists(log: DataFrame, key: str) -> bool | None:
-    """None if the key was never seen, else whether it is live."""
-    row = latest(log.where(F.col("key") == key)).select("op").first()
-    return None if row is None else row[0] != "delete"
+def exists(log: DataFrame, key: str, as_of: datetime | Column | None = None) -> bool | None:
+    """None if the key was never seen, else whether it is live: not deleted, and not expired at as_of."""
+    alive = (F.col("op") != "delete") & (F.lit(True) if as_of is None else unexpired(as_of))
+    row = latest(log.where(F.col("key") == key)).select(alive).first()
+    return None if row is None else row[0]
 
 
 def check_capacity(live_now: DataFrame, incoming: DataFrame, num_shards: int, most: int) -> None:

@@ -255,3 +255,42 @@ def test_entry_without_llm():
 
     code = "import sys; sys.modules['quillon.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'flat_topk_dot' in q and not any(k.startswith('op') for k in q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[1])
+
+
+def test_rows_of_one_batch(spark):
+    engine = SearchEngine(spark, EngineConfig(dim=2))
+    engine.upsert([{"key": "k", "vector": [1, 0]}, {"key": "k", "vector": [0, 1]}])
+    assert engine.get_vector("k") == [0.0, 1.0]
+    twice = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0])], "key string, vector array<float>")
+    with pytest.raises(InvalidArgument):
+        engine.upsert(twice)
+    for vector in (None, [1.0], [1.0, None]):
+        with pytest.raises(InvalidArgument):
+            engine.upsert(spark.createDataFrame([("b", vector)], "key string, vector array<float>"))
+    with pytest.raises(InvalidArgument):
+        engine.upsert([{"key": "t", "vector": [1, 0], "ttl_ms": 5}])
+
+
+def test_exists_after_expiry_and_compaction(spark):
+    engine = SearchEngine(spark, EngineConfig(dim=2))
+    began = datetime(2024, 1, 1)
+    engine.upsert([{"key": "t", "vector": [1, 0], "ttl_ms": 1000}, {"key": "d", "vector": [0, 1]}], written=began)
+    engine.delete(["d"])
+    later = began + timedelta(seconds=2)
+    assert engine.exists("t") and engine.exists("t", began) and not engine.exists("t", later)
+    engine.compact(later)
+    assert not engine.exists("t") and not engine.exists("d") and engine.live().count() == 0
+    with pytest.raises(NotFound):
+        engine.exists("never")
+
+
+def test_save_over_the_loaded_checkpoint(spark, tmp_path):
+    path = f"file://{tmp_path}/own"
+    engine = SearchEngine(spark, EngineConfig(dim=2))
+    engine.upsert([{"key": "a", "vector": [1, 0]}])
+    engine.save(path)
+    again = SearchEngine.load(spark, path)
+    again.upsert([{"key": "b", "vector": [0, 1]}])
+    again.save(path, overwrite=True)
+    assert [r["key"] for r in again.search([[0, 1]], topk=2).orderBy("rank").collect()] == ["b", "a"]
+    assert SearchEngine.load(spark, path).live().count() == 2
