@@ -522,4 +522,21 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), digest=True, passage=PASSAGE)
 
 
-QUERIES = {"op8_repeats": (op8_repeats, None)}
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM d, unnest(range(0, n - 399)) AS x(i) WHERE n >= 400),
+s AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+o AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s),
+g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM o),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, g),
+pc AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM sp),
+r AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS b, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept FROM pc JOIN d USING (doc_id) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS l FROM d),
+v AS (SELECT doc_id, i, md5(array_to_string(l[i:i + 49], ' ')) AS k FROM l, unnest(range(1, len(l) - 48)) AS x(i) WHERE len(l) >= 50),
+q AS (SELECT doc_id, i FROM v SEMI JOIN (SELECT k FROM v GROUP BY k HAVING count(*) > 1) USING (k)),
+c AS (SELECT doc_id, sum(least(50, e - i)) AS n FROM (SELECT doc_id, i, lead(i, 1, i + 50) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM q) GROUP BY doc_id)
+SELECT d.doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(c.n, 0)::BIGINT AS n_passage_words,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+FROM (SELECT *, n AS n_bytes FROM d) AS d LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+QUERIES = {"op8_repeats": (op8_repeats, SQL)}
