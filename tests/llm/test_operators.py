@@ -314,6 +314,22 @@ def test_several_licences_of_a_sentence():
 # -- 6 toxicity
 
 
+def test_filters_keep_clashing_columns(spark, docs_of):
+    """What a filter adds for itself neither overwrites nor reads a user's column of that name."""
+    rows = [(1, "one two three four five six seven eight nine ten"), (2, "quite another text"), (3, None)]
+    docs = docs_of(rows).selectExpr("*", "99L AS n_words", "'x' AS items", "'h' AS hits", "'A+' AS grade", "0.5 AS severity", "'r' AS rejected", "'p' AS p_toxic")
+    items = spark.createDataFrame([("i", "one two three four five six seven eight nine ten eleven")], "item_id string, text string")
+    extra = lambda df: [tuple(r[c] for c in docs.columns[5:]) for r in df.collect()]
+    want = (99, "x", "h", "A+", docs.first()["severity"], "r", "p")
+    for remove, n in (("documents", 2), ("spans", 3)):  # the first holds a window
+        got = decontaminate.decontaminate(docs, items, remove=remove)
+        assert got.columns == docs.columns and extra(got) == [want] * n
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items.selectExpr("item_id", "'quite another text' AS text")).orderBy("doc_id").collect()] == [1, 3]
+    labels = spark.createDataFrame([(1, 1), (2, -1), (3, None), (9, 7)], "doc_id long, toxic int")
+    got = toxicity.drop_toxic(docs, toxicity.train(docs, labels))
+    assert got.columns == docs.columns and set(extra(got)) == {want}
+
+
 def test_toxicity(spark, docs_of):
     rng = random.Random(3)
     common, bad = [f"w{i}" for i in range(200)], ["vile", "awful", "nasty"]
