@@ -112,6 +112,8 @@ class SearchEngine:
         self.live(as_of).withColumn("op", F.lit("upsert")).withColumn("seq", F.lit(0).cast("long")).select(*names).write.parquet(f"{base}/log")
         self._log = self.spark.read.schema(LOG).parquet(f"{base}/log")
         self._past = self.spark.read.schema("key string").parquet(f"{base}/seen")
+        if as_of is not None:
+            self._index = None  # it may hold rows that are gone
         self._source = None
 
     def _seen(self) -> DataFrame:
@@ -144,25 +146,63 @@ class SearchEngine:
         return queries.withColumn("qv", V.normalize(qv) if self.cfg.similarity == "cosine" else qv)
 
     def build_index(self) -> None:
-        """Builds the configured index over the live rows; searches use it until the next mutation."""
+        """Builds the configured index over the live rows and stores it in the shared folder; searches use it until the next mutation."""
         table, c = self.live(), self.cfg
         if c.index == "hnsw":
-            self._index = (hnsw.build(table, c.num_shards, c.hnsw_m, c.hnsw_ef_construction, c.hnsw_seed).persist(),)
+            self._index = self._kept({"edges": hnsw.build(table, c.num_shards, c.hnsw_m, c.hnsw_ef_construction, c.hnsw_seed)})
         elif c.index in ("ivf_flat", "ivf_sq8") and table.count() >= ivf.train_threshold(c.ivf_nlist):
             lists, centroids = ivf.build(table, c.ivf_nlist)
-            trained = quantize.train(lists) if c.index == "ivf_sq8" else None
-            self._index = (lists if trained is None else quantize.with_codes(lists, trained), centroids, trained)
+            parts = {"centroids": centroids}
+            if c.index == "ivf_sq8":
+                parts["trained"] = quantize.train(table)
+                lists = quantize.with_codes(lists, parts["trained"])
+            self._index = self._kept({"lists": lists, **parts})
+
+    def _kept(self, parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The tables of an index, written to the shared folder and read from there."""
+        base = f"{shared_folder(self.spark)}/index-{uuid.uuid4().hex}"
+        out = {}
+        for name, df in parts.items():
+            if name == "lists":
+                out[name] = ivf.store(df, f"{base}/{name}")
+            else:
+                df.write.parquet(f"{base}/{name}")
+                out[name] = self.spark.read.schema(df.schema).parquet(f"{base}/{name}")
+        return out
 
-    def _candidates(self, table: DataFrame, queries: DataFrame, bound: int) -> DataFrame:
-        """(qid, qv, key, vector, ...): what the index offers; without a built index, an exact scan."""
+    def index_stats(self) -> dict:
+        """Of the index: family, points seen, deleted ones among them, lists (or shards) and rows or edges stored."""
+        s = self.stats()
+        out = {"family": self.cfg.index, "built": self._index is not None, "points": s["num_keys"], "deleted": s["num_deleted"]}
+        if self._index is None:
+            return {**out, "groups": 0, "stored": 0}
+        of, by = ("edges", "shard") if "edges" in self._index else ("lists", "cid")
+        groups, stored = self._index[of].agg(F.count_distinct(by), F.sum(F.size("neighbours")) if of == "edges" else F.count(F.lit(1))).first()
+        return {**out, "groups": groups, "stored": stored}
+
+    def maintain(self, as_of: datetime | None = None) -> bool:
+        """Compacts the log and rebuilds lists and codes if the share of stale entries or the log's size asks for it."""
+        s = self.stats()
+        if not mutations.needs_compaction(s["stale_ratio"], s["num_entries"], s["num_entries"] * 4 * self.cfg.dim):
+            return False
+        self.compact(as_of)
+        self.build_index()
+        return True
+
+    def _candidates(self, table: DataFrame, queries: DataFrame, bound: int, as_of: datetime | None, filters: dict[str, str] | None) -> DataFrame:
+        """(qid, qv, key, vector, ...): what the index offers of rows unexpired by as_of, and of those that pass filters (before the cut).
+
+        Without a built index, an exact scan of table, which holds such rows only.
+        """
         c = self.cfg
         if self._index is None:
             return flat.route(table, queries, bound)
         if c.index == "hnsw":
-            near = hnsw.route(table, self._index[0], queries, c.num_shards, bound, c.hnsw_ef_search)
+            near = hnsw.route(self.live(), self._index["edges"], queries, c.num_shards, bound, c.hnsw_ef_search)
             return near.join(table.drop("vector"), "key")
-        lists, centroids, trained = self._index
-        near = ivf.candidates(lists, queries, centroids, c.ivf_nprobe)
+        trained = self._index.get("trained")
+        lists = P.live(self._index["lists"], as_of, filters)
+        near = ivf.candidates(lists, queries, self._index["centroids"], c.ivf_nprobe, True)
         if trained is None:
             near = near.withColumn("approx", V.sanitize(V.dot(F.col("vector"), F.col("qv"))))
         else:
@@ -171,10 +211,8 @@ class SearchEngine:
 
     def _vector_side(self, queries: DataFrame, k: int, filters: dict[str, str] | None, as_of: datetime | None, mode: str) -> DataFrame:
         rows, bound = candidate_bound(k, self.cfg)
-        table = self.live(as_of)
-        if mode == "pre" and filters:
-            table = table.where(P.metadata(filters))
-        near = self._candidates(table, queries, bound)
+        early = filters if mode == "pre" else None
+        near = self._candidates(P.live(self.live(as_of), None, early), queries, bound, as_of, early)
         if filters:
             near = near.where(P.metadata(filters))
         return flat.rerank(near, rows)
@@ -272,17 +310,25 @@ class SearchEngine:
     # -- checkpoints
 
     def save(self, path: str, overwrite: bool = False) -> dict:
-        """Writes a checkpoint; over the one that this engine was loaded from, the log is rewritten elsewhere first."""
+        """Writes a checkpoint with its index; over the one that this engine was loaded from, log and index are rewritten elsewhere first."""
         if overwrite and self._source == path.rstrip("/"):
+            self._index = self._index and self._kept(self._index)
             self.compact()
-        return checkpoint.write(self.live(), self.cfg, path, overwrite=overwrite)
+        return checkpoint.write(self.live(), self.cfg, path, self._index, overwrite)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> SearchEngine:
+    def load(cls, spark: SparkSession, path: str, expect: EngineConfig | None = None) -> SearchEngine:
+        """The engine of a checkpoint, with its index if it was built. Settings other than the expected ones are refused."""
         cfg, tables = checkpoint.read(spark, path)
+        if expect is not None and expect != cfg:
+            other = [k for k, v in expect.as_dict().items() if cfg.as_dict()[k] != v]
+            raise InvalidArgument(f"{path} has other settings: {', '.join(other)}")
+        if "centroids" in tables and tables["centroids"].count() != cfg.ivf_nlist:
+            raise InvalidArgument(f"{path} has lists of another number than {cfg.ivf_nlist}")
         out = cls(spark, cfg)
         out._append(tables["records"].withColumn("op", F.lit("upsert")))
         out._source = path.rstrip("/")
+        out._index = {k: v for k, v in tables.items() if k != "records"} or None
         return out
 
 

@@ -18,9 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import InvalidArgument, ResourceExhausted
 from ..functions.hashing import OFFSET, fnv1a64, shard_of
 from . import flat
 
+MOST = 200_000  # vectors of one graph
+QUERIES = 4096  # queries that walk the graphs at once
+
 
 def level_of(key: str, m: int, seed: int) -> int:
     u = (fnv1a64(key.encode(), fnv1a64(str(seed).encode(), OFFSET)) >> 11) / 2**53
@@ -115,7 +119,11 @@ EDGES = "shard int, level int, node string, neighbours array<string>"
 
 
 def build(table: DataFrame, num_shards: int, m: int = 16, ef_construction: int = 200, seed: int = 42) -> DataFrame:
-    """The graphs' adjacency lists: (shard, level, node, neighbours)."""
+    """The graphs' adjacency lists: (shard, level, node, neighbours). More than MOST vectors in a shard are refused: take more shards."""
+    placed = table.select("key", "vector", shard_of(F.col("key"), num_shards).alias("shard"))
+    full = placed.groupBy("shard").count().where(F.col("count") > MOST).orderBy("shard").first()
+    if full is not None:
+        raise ResourceExhausted(f"shard {full[0]} has {full[1]} vectors, a graph holds {MOST}; take more shards than {num_shards}")
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key").reset_index(drop=True)
@@ -124,12 +132,14 @@ def build(table: DataFrame, num_shards: int, m: int = 16, ef_construction: int =
         rows = [(int(pdf["shard"][0]), at, keys[n], [keys[x] for x in near]) for at, nodes in enumerate(g.links) for n, near in nodes.items()]
         return pd.DataFrame(rows, columns=["shard", "level", "node", "neighbours"])
 
-    return table.select("key", "vector", shard_of(F.col("key"), num_shards).alias("shard")).groupBy("shard").applyInPandas(of, EDGES)
+    return placed.groupBy("shard").applyInPandas(of, EDGES)
 
 
 def route(table: DataFrame, edges: DataFrame, queries: DataFrame, num_shards: int, bound: int, ef_search: int = 50) -> DataFrame:
-    """(qid, qv, key, vector): candidates of each shard's graph for each query; queries: a checked, small set."""
-    ids = [(r[0], [float(x) for x in r[1]]) for r in queries.select("qid", "qv").collect()]
+    """(qid, qv, key, vector): candidates of each shard's graph for each query; at most QUERIES queries."""
+    ids = [(r[0], [float(x) for x in r[1]]) for r in queries.select("qid", "qv").limit(QUERIES + 1).collect()]
+    if len(ids) > QUERIES:
+        raise InvalidArgument(f"more than {QUERIES} queries at once")
     shared = table.sparkSession.sparkContext.broadcast(ids)
     kind = queries.schema["qid"].dataType
     schema = T.StructType([T.StructField("qid", kind), T.StructField("qv", T.ArrayType(T.FloatType())), T.StructField("key", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))])

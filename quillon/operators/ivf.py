@@ -9,6 +9,8 @@ from ..functions import vectors as V
 from . import flat, kmeans, quantize
 from .topk import top
 
+SPLIT = 16  # files of one list at most, so that a list of a third of all rows is not one task's
+
 
 def train_threshold(nlist: int) -> int:
     """Fewer vectors than this are searched without lists."""
@@ -21,6 +23,12 @@ def build(table: DataFrame, nlist: int, iterations: int = kmeans.ITERATIONS) ->
     return kmeans.assign(table, centroids), centroids
 
 
+def store(lists: DataFrame, path: str) -> DataFrame:
+    """lists written by cid and read back: a probe opens the files of its lists only."""
+    lists.repartition("cid", F.pmod(F.xxhash64("key"), F.lit(SPLIT))).write.partitionBy("cid").parquet(path)
+    return lists.sparkSession.read.schema(lists.schema).parquet(path)
+
+
 def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     """(qid, qv, cid): the nprobe lists of the largest dot product; of equals the larger cid."""
     pairs = queries.crossJoin(F.broadcast(centroids)).withColumn("_s", V.dot(F.col("qv"), F.col("centroid")))
@@ -28,15 +36,21 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= nprobe).select("qid", "qv", "cid")
 
 
-def candidates(lists: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
-    """Rows of the probed lists with qid and qv. Lists of cid -1 (no centroid) are always probed."""
+def candidates(lists: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int, stored: bool = False) -> DataFrame:
+    """Rows of the probed lists with qid and qv. Lists of cid -1 (no centroid) are always probed.
+
+    Of stored lists (see ``store``) the probed numbers, at most one a centroid, are a filter that leaves out the other files.
+    """
     probed = probes(queries, centroids, nprobe)
+    if stored:
+        wanted = [r[0] for r in probed.select("cid").distinct().collect()]
+        lists = lists.where(F.col("cid").isin(-1, *wanted))
     lost = queries.select("qid", "qv", F.lit(-1).alias("cid"))
     return lists.join(F.broadcast(probed.unionByName(lost)), "cid")  # queries x (nprobe + 1) rows
 
 
-def search(lists: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int, k: int) -> DataFrame:
-    return flat.rerank(candidates(lists, queries, centroids, nprobe), k).select("qid", "rank", "key", "score")
+def search(lists: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int, k: int, stored: bool = False) -> DataFrame:
+    return flat.rerank(candidates(lists, queries, centroids, nprobe, stored), k).select("qid", "rank", "key", "score")
 
 
 def search_sq8(lists: DataFrame, queries: DataFrame, centroids: DataFrame, trained: DataFrame, nprobe: int, k: int) -> DataFrame:

@@ -1,21 +1,28 @@
 """Named queries over the test tables: name -> (function, DuckDB SQL or None).
 
 Vectors are ``embeddings`` (key: vec_id as string, tag: label); the hybrid corpus joins ``documents`` on doc_id = vec_id;
-``events`` is read as a mutation log (key: user_id, deletes: event_type error, ttl from value).
+``events`` is read as a mutation log (key: user_id, deletes: event_type error, ttl from value). Searches take every row whose id
+is divisible by 100 as a query, against all rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
+from ..engine import SearchEngine
 from ..functions import vectors as V
 from ..functions.hashing import fnv_hex, shard_of
 from ..functions.text import idf, tokenize
 from ..operators import evaluate, filters, flat, fusion, hnsw, ivf, keyword, kmeans, mutations, quantize
 from ..operators.topk import sharded_merge, top
+from ..sources.shared import shared_folder
 
 K = 10
+EACH = 100  # one row in so many is a query
 AS_OF = "2024-01-15 00:00:00"
 
 
@@ -28,8 +35,8 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"), F.create_map(F.lit("tag"), F.col("label").cast("string")).alias("meta"))
 
 
-def vector_queries(spark: SparkSession, sf: str, n: int = 5) -> DataFrame:
-    e = _read(spark, sf, "embeddings").where(F.col("vec_id") < n)
+def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
+    e = _read(spark, sf, "embeddings").where(F.col("vec_id") % EACH == 0)
     return e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
@@ -39,8 +46,8 @@ def hybrid_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(F.col("doc_id").cast("string").alias("key"), F.col("embedding").alias("vector"), meta.alias("meta"), "text")
 
 
-def text_queries(spark: SparkSession, sf: str, n: int = 8) -> DataFrame:
-    return _read(spark, sf, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("qid"), "text")
+def text_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "benchmark").where(F.col("item_id") % EACH == 0).select(F.col("item_id").alias("qid"), "text")
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -48,12 +55,12 @@ def _out(df: DataFrame) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector with every query and its score; the queries are five rows."""
+    """Every vector with every query and its score."""
     pairs = vectors(spark, sf).crossJoin(F.broadcast(vector_queries(spark, sf)))
     return pairs.withColumn("score", V.sanitize(V.dot(F.col("vector"), F.col("qv"))))
 
 
-_Q = "q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id < 5)"
+_Q = "q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0)"
 _S = "s AS (SELECT qid, vec_id::VARCHAR AS key, label, qv, embedding, list_dot_product(qv::DOUBLE[], embedding::DOUBLE[]) AS score FROM embeddings, q)"
 _TOP = "SELECT qid, rank::INT AS rank, key, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM {0}) WHERE rank <= {1}"
 
@@ -74,7 +81,7 @@ _COSINE = f"WITH {_Q}, c AS (SELECT qid, vec_id::VARCHAR AS key, list_transform(
 
 def search_by_key(spark: SparkSession, sf: str) -> DataFrame:
     table = vectors(spark, sf)
-    queries = table.where(F.col("key").isin("7", "11", "13")).select(F.col("key").alias("qid"), F.col("vector").alias("qv"))
+    queries = table.where(F.col("key").cast("int") % EACH == 0).select(F.col("key").alias("qid"), F.col("vector").alias("qv"))
     return _out(flat.search(table, queries, K, 40))
 
 
@@ -114,7 +121,7 @@ def norm_stats(spark: SparkSession, sf: str) -> DataFrame:
 _DT = "list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[^A-Za-z0-9]+'), lambda x: x <> ''), lambda x: lower(x))"
 _KW = f"""p AS (SELECT doc_id::VARCHAR AS key, token, count(*) AS tf FROM (SELECT doc_id, unnest({_DT}) AS token FROM documents) GROUP BY 1, 2),
 n AS (SELECT count(DISTINCT key) AS n FROM p), df AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
-w AS (SELECT item_id AS qid, token, count(*) AS times FROM (SELECT item_id, unnest({_DT}) AS token FROM benchmark WHERE item_id < 8) GROUP BY 1, 2),
+w AS (SELECT item_id AS qid, token, count(*) AS times FROM (SELECT item_id, unnest({_DT}) AS token FROM benchmark WHERE item_id % 100 = 0) GROUP BY 1, 2),
 k AS (SELECT qid, key, round(sum(times * tf * ln(1 + n / df::DOUBLE)), 9) AS score FROM w JOIN p USING (token) JOIN df USING (token), n GROUP BY 1, 2)"""
 
 
@@ -147,16 +154,16 @@ def keyword_shard_idf(spark: SparkSession, sf: str) -> DataFrame:
 
 _KW_SHARD = f"""p AS (SELECT doc_id::VARCHAR AS key, doc_id % 3 AS shard, token, count(*) AS tf FROM (SELECT doc_id, unnest({_DT}) AS token FROM documents) GROUP BY 1, 2, 3),
 n AS (SELECT shard, count(DISTINCT key) AS n FROM p GROUP BY 1), df AS (SELECT token, shard, count(*) AS df FROM p GROUP BY 1, 2),
-w AS (SELECT item_id AS qid, token, count(*) AS times FROM (SELECT item_id, unnest({_DT}) AS token FROM benchmark WHERE item_id < 8) GROUP BY 1, 2),
+w AS (SELECT item_id AS qid, token, count(*) AS times FROM (SELECT item_id, unnest({_DT}) AS token FROM benchmark WHERE item_id % 100 = 0) GROUP BY 1, 2),
 k AS (SELECT qid, key, round(sum(times * tf * ln(1 + n / df::DOUBLE)), 9) AS score FROM w JOIN p USING (token) JOIN df USING (token, shard) JOIN n USING (shard) GROUP BY 1, 2)"""
 _RANK4 = "SELECT qid, rank::INT AS rank, key, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM {0}) WHERE rank <= {1}"
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The hybrid corpus, and both sides' scores for queries 0 to 4: vec_id's vector with item_id's text."""
+    """The hybrid corpus, and both sides' scores: vec_id's vector with item_id's text."""
     corpus = hybrid_corpus(spark, sf)
     v = flat.search(corpus.select("key", "vector"), vector_queries(spark, sf), 2 * K, 80).select("qid", "key", "score")
-    t = keyword.scores(corpus, text_queries(spark, sf, 5))
+    t = keyword.scores(corpus, text_queries(spark, sf))
     return corpus, v, t
 
 
@@ -165,7 +172,7 @@ vs AS (SELECT qid, key, list_dot_product(qv::DOUBLE[], embedding::DOUBLE[]) AS s
 v AS (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rv FROM vs QUALIFY rv <= 20),
 p AS (SELECT key, token, count(*) AS tf FROM (SELECT key, unnest({_DT}) AS token FROM c) GROUP BY 1, 2),
 n AS (SELECT count(DISTINCT key) AS n FROM p), df AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
-w AS (SELECT item_id AS qid, token, count(*) AS times FROM (SELECT item_id, unnest({_DT}) AS token FROM benchmark WHERE item_id < 5) GROUP BY 1, 2),
+w AS (SELECT item_id AS qid, token, count(*) AS times FROM (SELECT item_id, unnest({_DT}) AS token FROM benchmark WHERE item_id % 100 = 0) GROUP BY 1, 2),
 ts AS (SELECT qid, key, round(sum(times * tf * ln(1 + n / df::DOUBLE)), 9) AS score FROM w JOIN p USING (token) JOIN df USING (token), n GROUP BY 1, 2),
 t AS (SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rt FROM ts QUALIFY rt <= 20),
 u AS (SELECT coalesce(v.qid, t.qid) AS qid, coalesce(v.key, t.key) AS key, v.score AS v, t.score AS t, rv, rt FROM v FULL JOIN t ON v.qid = t.qid AND v.key = t.key)"""
@@ -324,23 +331,66 @@ def percentile_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of vectors of score above 0.95, in both orders. The SQL has only queries below 100 and 20 partners of each."""
+    """All pairs of vectors of score above 0.95, in both orders."""
     kind = _read(spark, sf, "embeddings").schema["vec_id"].dataType
     return flat.above(vectors(spark, sf), 0.95).select(F.col("qid").cast(kind).alias("qid"), "key", F.round("score", 6).alias("score"))
 
 
-def ivf_trained(spark: SparkSession, sf: str) -> DataFrame:
-    """Trained lists: recall of the first 50 vectors as queries."""
+def _trained(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of each query in 5 of 10 trained lists, which are stored and read back."""
     table = vectors(spark, sf)
-    lists, centroids = ivf.build(table, 10, 3)
-    queries = vector_queries(spark, sf, 50)
-    return evaluate.recall(ivf.search(lists, queries, centroids, 5, K), flat.search(table, queries, K, 40))
+    lists, centroids = ivf.build(table, 10)
+    lists = ivf.store(lists, f"{shared_folder(spark)}/lists-{uuid.uuid4().hex}")
+    queries = vector_queries(spark, sf)
+    return evaluate.recall(ivf.search(lists, queries, centroids, 5, K, True), flat.search(table, queries, K, 40))
 
 
-def hnsw_topk(spark: SparkSession, sf: str) -> DataFrame:
+def ivf_trained(spark: SparkSession, sf: str) -> DataFrame:
+    return _trained(spark, sf)
+
+
+def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: whether half of the trained lists hold on average 0.7 or more of the true neighbours."""
+    return _trained(spark, sf).agg(F.count(F.lit(1)).alias("n_queries"), (F.avg("recall") >= 0.7).alias("holds"))
+
+
+def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     table = vectors(spark, sf).select("key", "vector")
-    edges = hnsw.build(table, 2, 16, 100)
-    return _out(hnsw.search(table, edges, vector_queries(spark, sf), 2, K, 40, 80))
+    return table, hnsw.build(table, 2, 16, 100), vector_queries(spark, sf)
+
+
+def hnsw_topk(spark: SparkSession, sf: str) -> DataFrame:
+    table, edges, queries = _graph(spark, sf)
+    return _out(hnsw.search(table, edges, queries, 2, K, 40, 80))
+
+
+def hnsw_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: whether the graphs find on average 0.95 or more of the true neighbours."""
+    table, edges, queries = _graph(spark, sf)
+    found = evaluate.recall(hnsw.search(table, edges, queries, 2, K, 40, 80), flat.search(table, queries, K, 40))
+    return found.agg(F.count(F.lit(1)).alias("n_queries"), (F.avg("recall") >= 0.95).alias("holds"))
+
+
+def self_match(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of queries whose first result is themselves."""
+    table, queries = vectors(spark, sf), vector_queries(spark, sf)
+    return evaluate.self_recall(flat.search(table, queries, K, 40))
+
+
+def engine_prefilter(spark: SparkSession, sf: str) -> DataFrame:
+    """filtered_pre through the engine: upsert, filter before the cut, exact scores."""
+    engine = SearchEngine(spark, EngineConfig(dim=64, similarity="dot"))
+    engine.upsert(vectors(spark, sf))
+    return _out(engine.search(vector_queries(spark, sf), K, {"tag": "3"}, filter_mode="pre"))
+
+
+def engine_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """flat_topk_dot by an engine that was saved and loaded."""
+    engine = SearchEngine(spark, EngineConfig(dim=64, similarity="dot"))
+    engine.upsert(vectors(spark, sf))
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    engine.save(path)
+    return _out(SearchEngine.load(spark, path).search(vector_queries(spark, sf), K))
 
 
 def _w(*parts: str) -> str:
@@ -350,7 +400,7 @@ def _w(*parts: str) -> str:
 QUERIES = {
     "flat_topk_dot": (flat_topk_dot, f"{_w(_Q, _S)} {_TOP.format('s', K)}"),
     "flat_topk_cosine": (flat_topk_cosine, _COSINE),
-    "search_by_key": (search_by_key, f"WITH q AS (SELECT vec_id::VARCHAR AS qid, embedding AS qv FROM embeddings WHERE vec_id IN (7, 11, 13)), {_S} {_TOP.format('s', K)}"),
+    "search_by_key": (search_by_key, f"WITH q AS (SELECT vec_id::VARCHAR AS qid, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), {_S} {_TOP.format('s', K)}"),
     "filtered_pre": (filtered_pre, f"{_w(_Q, _S)} {_TOP.format('(SELECT * FROM s WHERE label = 3)', K)}"),
     "filtered_post": (filtered_post, f"{_w(_Q, _S)}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS cut FROM s) WHERE cut <= 40) {_TOP.format('(SELECT * FROM c WHERE label = 3)', K)}"),
     "candidate_bound_rerank": (candidate_bound_rerank, f"{_w(_Q, _S)} {_TOP.format('s', K)}"),
@@ -380,7 +430,12 @@ QUERIES = {
     "ivf_sq8_topk": (ivf_sq8_topk, f"WITH {_SQ}, {_PROBE}, qx AS (SELECT qid, cid, i AS pos, qv[i + 1]::DOUBLE AS qx FROM pr, unnest(range(0, len(qv))) AS g(i)), a AS (SELECT qid, key, sum(qx * (lo + code * step)) AS score FROM c JOIN li USING (key) JOIN qx USING (pos, cid) GROUP BY 1, 2), b AS (SELECT qid, key FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS cut FROM a) WHERE cut <= 30), e AS (SELECT b.qid, b.key, list_dot_product(qv::DOUBLE[], embedding::DOUBLE[]) AS score FROM b JOIN q USING (qid) JOIN embeddings ON vec_id::VARCHAR = key) {_TOP.format('e', K)}"),
     "recall_at_k": (recall_at_k, f"WITH {_PROBE}, s AS (SELECT qid, key, list_dot_product(qv::DOUBLE[], embedding::DOUBLE[]) AS score FROM pr JOIN li USING (cid)), a AS ({_TOP.format('s', K)}), {_S.replace('s AS', 'fs AS', 1)}, b AS ({_TOP.format('fs', K)}) SELECT b.qid, round(count(a.key) / count(*)::DOUBLE, 6) AS recall FROM b LEFT JOIN a ON a.qid = b.qid AND a.key = b.key GROUP BY 1"),
     "percentile_nearest_rank": (percentile_nearest_rank, "SELECT event_type, p::DOUBLE AS p, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL), (VALUES (0.5), (0.95), (0.99)) AS t(p) WHERE r = floor(p * (n - 1))"),
-    "duplicate_pairs": (duplicate_pairs, f"WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id < 100), {_S}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM s) WHERE rank <= 20) SELECT qid, key, round(score, 6) AS score FROM a WHERE score > 0.95 AND key <> qid::VARCHAR"),
+    "duplicate_pairs": (duplicate_pairs, "SELECT a.vec_id AS qid, b.vec_id::VARCHAR AS key, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.95"),
+    "ivf_recall": (ivf_recall, "SELECT count(*) AS n_queries, true AS holds FROM embeddings WHERE vec_id % 100 = 0"),
+    "hnsw_recall": (hnsw_recall, "SELECT count(*) AS n_queries, true AS holds FROM embeddings WHERE vec_id % 100 = 0"),
+    "self_match": (self_match, f"WITH {_Q}, {_S}, a AS ({_TOP.format('s', 1)}) SELECT avg((key = qid::VARCHAR)::INT) AS recall_at_1 FROM a"),
+    "engine_prefilter": (engine_prefilter, f"{_w(_Q, _S)} {_TOP.format('(SELECT * FROM s WHERE label = 3)', K)}"),
+    "engine_checkpoint": (engine_checkpoint, f"{_w(_Q, _S)} {_TOP.format('s', K)}"),
     "ivf_trained": (ivf_trained, None),
     "hnsw_topk": (hnsw_topk, None),
 }

@@ -32,7 +32,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write(table: DataFrame, cfg: EngineConfig, path: str, parts: dict[str, DataFrame] | None = None, overwrite: bool = False) -> dict:
-    """Writes table as ``records`` and further tables (indexes) under one manifest, which is returned."""
+    """Writes table as ``records`` and further tables (indexes) under one manifest, which is returned. ``lists`` go by their cid."""
     spark = table.sparkSession
     target, fs = _fs(spark, path)
     if fs.exists(target) and not overwrite:
@@ -40,7 +40,7 @@ def write(table: DataFrame, cfg: EngineConfig, path: str, parts: dict[str, DataF
     tmp = f"{path}.tmp-{uuid.uuid4().hex}"
     manifest = {"magic": MAGIC, "version": VERSION, "config": cfg.as_dict(), "tables": {}}
     for name, df in {"records": table, **(parts or {})}.items():
-        df.write.parquet(f"{tmp}/{name}")
+        (df.write.partitionBy("cid") if name == "lists" else df.write).parquet(f"{tmp}/{name}")
         n, total = _sum(spark.read.schema(df.schema).parquet(f"{tmp}/{name}"))
         manifest["tables"][name] = {"rows": n, "checksum": total, "schema": df.schema.json()}
     out = fs.create(_fs(spark, f"{tmp}/manifest.json")[0])
