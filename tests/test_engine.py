@@ -294,3 +294,70 @@ def test_save_over_the_loaded_checkpoint(spark, tmp_path):
     again.save(path, overwrite=True)
     assert [r["key"] for r in again.search([[0, 1]], topk=2).orderBy("rank").collect()] == ["b", "a"]
     assert SearchEngine.load(spark, path).live().count() == 2
+
+
+def test_saved_index(spark, tmp_path):
+    v = unit(420, 8, 4)
+    rows = [{"key": str(i), "vector": x.tolist()} for i, x in enumerate(v)]
+    for index in ("hnsw", "ivf_flat", "ivf_sq8"):
+        e = engine(spark, rows, dim=8, index=index, ivf_nlist=4, ivf_nprobe=4)
+        e.build_index()
+        path = f"file://{tmp_path}/{index}"
+        assert set(e.save(path)["tables"]) == {"records", *e._index}
+        back = SearchEngine.load(spark, path, e.cfg)
+        assert back.index_stats() == e.index_stats() and back.index_stats()["built"]
+        assert keys(back.search([v[9].tolist()], 5)) == keys(e.search([v[9].tolist()], 5))
+        back.save(path, overwrite=True)  # the index reads from the folder that is replaced
+        assert keys(SearchEngine.load(spark, path).search([v[9].tolist()], 3))[0] == "9"
+        with pytest.raises(InvalidArgument):
+            SearchEngine.load(spark, path, EngineConfig(**{**e.cfg.as_dict(), "ivf_nlist": 5}))
+        back.upsert([{"key": "new", "vector": [0.0] * 8}])
+        assert not back.index_stats()["built"]
+
+
+def test_stored_lists_are_pruned(spark, tmp_path):
+    v = unit(400, 8, 6)
+    lists, centroids = ivf.build(table(spark, v), 4, 3)
+    stored = ivf.store(lists, f"file://{tmp_path}/lists")
+    q = queries(spark, v[:1])
+    one = ivf.candidates(stored, q, centroids, 1, True)
+    assert "PartitionFilters: [cid" in one._jdf.queryExecution().executedPlan().toString()
+    for nprobe in (1, 2, 4):
+        a, b = ivf.search(stored, q, centroids, nprobe, 10, True), ivf.search(lists, q, centroids, nprobe, 10)
+        assert a.orderBy("rank").collect() == b.orderBy("rank").collect()
+
+
+def test_lists_know_expiry_and_filters(spark):
+    v = unit(420, 8, 4)
+    rows = [{"key": str(i), "vector": x.tolist(), "meta": {"tag": str(i % 50)}, "ttl_ms": 1000 if i == 7 else -1} for i, x in enumerate(v)]
+    e = SearchEngine(spark, EngineConfig(dim=8, index="ivf_flat", ivf_nlist=4, ivf_nprobe=4))
+    e.upsert(rows, datetime(2024, 1, 1))
+    e.build_index()
+    assert keys(e.search([v[7].tolist()], 1)) == ["7"]
+    assert keys(e.search([v[7].tolist()], 1, as_of=datetime(2024, 1, 2))) != ["7"]
+    assert len(keys(e.search([v[7].tolist()], 8, {"tag": "7"}, filter_mode="pre"))) == 8
+
+
+def test_assignment_of_odd_vectors(spark):
+    nan = float("nan")
+    centroids = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "cid int, centroid array<float>")
+    t = spark.createDataFrame([("tie", [1.0, 1.0]), ("left", [2.0, 0.0]), ("nan", [nan, nan]), ("null", None), ("left", [2.0, 0.0])], "key string, vector array<float>")
+    got = sorted((r["key"], r["cid"]) for r in kmeans.assign(t, centroids).collect())
+    assert got == [("left", 1), ("left", 1), ("nan", -1), ("null", -1), ("tie", 1)]
+    moved = {r["cid"]: list(r["centroid"]) for r in kmeans.step(t, centroids).collect()}
+    assert moved[3] == [1.0, 0.0] and moved[2] == [0.0, 1.0]  # empty clusters stay
+    assert np.allclose(moved[1], np.array([5 / 3, 1 / 3]) / np.hypot(5 / 3, 1 / 3), atol=1e-6)
+    assert kmeans.assign(t.limit(0), centroids).count() == 0 and kmeans.step(t.limit(0), centroids).count() == 3
+
+
+def test_graphs_refuse_large_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "MOST", 10)
+    with pytest.raises(ResourceExhausted):
+        hnsw.build(table(spark, unit(30, 4, 1)), 2)
+
+
+def test_maintain(spark):
+    e = engine(spark, [{"key": str(i), "vector": [1.0, float(i)]} for i in range(20)], dim=2)
+    assert not e.maintain()
+    e.delete([str(i) for i in range(15)])
+    assert e.maintain() and e.stats()["num_entries"] == 5 and not e.maintain()
