@@ -35,7 +35,7 @@ too, count as copies of each other; an empty table gives no rows. Extra columns
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -106,23 +106,27 @@ def anchors(rows: K.Rows, view: View) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if n < view.length:
         return none
     sums = K.prefix(rows.data)
-    places = np.arange(0, n - view.kgram + 1, unit)
-    h = K.mix(K.span_hash(sums, places, places + view.kgram) + np.uint64(view.number))
-    best = _window_argmin(h, (view.length - view.kgram) // unit + 1)  # best[s]: anchor of the window that starts at s, in symbols
-    begin = np.arange(len(best)) * unit
-    row = np.searchsorted(rows.bounds, begin, "right") - 1
-    starts = np.flatnonzero(begin + view.length <= rows.bounds[row + 1])
-    if not len(starts):
+    spans = (sums[view.kgram :: unit] - sums[: n - view.kgram + 1 : unit]) * K.powers("down", len(sums))[: n - view.kgram + 1 : unit]
+    h = K.mix(K.mix(spans) + np.uint64(view.number))
+    # windows of whole rows, in symbols: row i has the starts first[i], ..., last[i]
+    first, last = rows.bounds[:-1] // unit, (rows.bounds[1:] - view.length) // unit
+    some = np.flatnonzero(last >= first)
+    if not len(some):
         return none
-    at = best[starts]
-    new = np.concatenate(([True], (at[1:] != at[:-1]) | (row[starts[1:]] != row[starts[:-1]])))
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(starts)])) - 1
-    return h[at[first]], at[first] * unit, row[starts[first]], starts[first] * unit, starts[last] * unit
-
-
-def _window_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """Place of the leftmost least value in each window of w values: block-wise minima from both ends."""
+    first, last = first[some], last[some]
+    new, find = _window_minima(h, (view.length - view.kgram) // unit + 1)
+    lo = np.union1d(new, first)
+    row = np.searchsorted(first, lo, "right") - 1
+    hi = np.minimum(np.append(lo[1:] - 1, last[-1]), last[row])
+    kept = (row >= 0) & (lo <= last[row])
+    lo, hi, row = lo[kept], hi[kept], row[kept]
+    at = find(lo)
+    return h[at], at * unit, some[row], lo * unit, hi * unit
+
+
+def _window_minima(h: np.ndarray, w: int) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """The windows of w values whose leftmost least value stands elsewhere than that of the window before, and a function from
+    windows to the place of it. Block-wise minima from both ends give the least values."""
     n = len(h)
     m = -(-n // w) * w
     padded = np.full(m, np.iinfo(np.uint64).max, np.uint64)
@@ -130,18 +134,19 @@ def _window_argmin(h: np.ndarray, w: int) -> np.ndarray:
     grid = padded.reshape(-1, w)
     right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()  # least from i to the end of i's block
     left = np.minimum.accumulate(grid, axis=1).ravel()  # least from the start of i's block to i
-    s = np.arange(n - w + 1)
-    a, b = right[s], left[s + w - 1]
-    place = np.arange(m)
-    # where the leftmost least value from i on stands, and where that up to i stands
-    hit = padded == right
-    nxt = np.where(hit, place, m).reshape(-1, w)
-    nxt = np.minimum.accumulate(nxt[:, ::-1], axis=1)[:, ::-1].ravel()
-    fresh = np.empty((len(grid), w), bool)
-    fresh[:, 0] = True
-    fresh[:, 1:] = left.reshape(-1, w)[:, 1:] < left.reshape(-1, w)[:, :-1]
-    prv = np.maximum.accumulate(np.where(fresh, place.reshape(-1, w), 0), axis=1).ravel()
-    return np.where(a <= b, nxt[s], prv[s + w - 1])
+    least = np.minimum(right[: n - w + 1], left[w - 1 : n])
+    # another value, or the place was the first of the window before
+    new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (h[: n - w] == least[:-1]))))
+    tails = np.flatnonzero(padded == right)  # where the least value from some i on stands; the first from i on is the leftmost
+    fresh = np.empty(m, bool)
+    fresh[1:] = left[1:] < left[:-1]
+    fresh[::w] = True
+    heads = np.flatnonzero(fresh)  # where the leftmost least value up to some i stands
+
+    def find(s: np.ndarray) -> np.ndarray:
+        return np.where(right[s] <= left[s + w - 1], tails[np.minimum(np.searchsorted(tails, s), len(tails) - 1)], heads[np.searchsorted(heads, s + w - 1, "right") - 1])
+
+    return new, find
 
 
 def text_id(text: bytes) -> bytes:
@@ -280,21 +285,36 @@ def sort_block(text: np.ndarray, starts: np.ndarray, group: np.ndarray, length:
     n = len(text)
     cut = (length - V) // V * V  # bytes that a cover rank stands for
     tail = length - cut
-    padded = np.concatenate((text, np.zeros(length + 2 * V + 8, np.uint8)))
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    padded = np.concatenate((text, np.zeros(-n % 8 + (length + 2 * V + 15) // 8 * 8, np.uint8)))
+    words = np.empty(len(padded) - 8, np.uint64)  # the eight bytes from each place, as a number in their order
+    for i in range(8):
+        words[i::8] = padded[i : i + len(padded) - 8].view(">u8")
 
     def key(at: np.ndarray, k: int) -> np.ndarray:
-        return np.ascontiguousarray(words[at + 8 * k]).view(">u8").ravel().astype(np.uint64)
+        return words[at + 8 * k]
+
+    def ranks(x: np.ndarray) -> np.ndarray:
+        """Ranks from 0, equal for equal ones."""
+        order = np.argsort(x)
+        y = x[order]
+        out = np.empty(len(x), np.int64)
+        out[order] = np.cumsum(np.concatenate(([False], y[1:] != y[:-1])))[: len(x)]
+        return out
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks by a, then b, both from 0 on and below 2**31."""
+        return ranks(a << 31 | b)
 
     def dense(*keys: np.ndarray) -> np.ndarray:
-        """Ranks from 0 by keys, equal for equal ones."""
-        order = np.lexsort(keys[::-1])
-        step = np.zeros(len(order), np.int64)
-        for x in keys:
-            y = x[order]
-            step[1:] |= y[1:] != y[:-1]
-        out = np.empty(len(order), np.int64)
-        out[order] = np.cumsum(step)
+        """Ranks from 0 by keys, equal for equal ones; a further key orders only what is tied so far."""
+        out = ranks(keys[0])
+        for x in keys[1:]:
+            tied = np.flatnonzero(np.bincount(out)[out] > 1)
+            if not len(tied):
+                break
+            then = np.zeros(len(out), np.int64)
+            then[tied] = ranks(x[tied])
+            out = pairs(out, then)
         return out
 
     sample = np.flatnonzero(np.isin(np.arange(n + V) % V, COVER))
@@ -305,7 +325,7 @@ def sort_block(text: np.ndarray, starts: np.ndarray, group: np.ndarray, length:
     while size < cut:
         step = min(size, cut - size)
         other = where[np.minimum(sample + step, len(where) - 1)]
-        rank = dense(rank, np.where(other < 0, -1, rank[np.maximum(other, 0)]))
+        rank = pairs(rank, np.where(other < 0, 0, rank[np.maximum(other, 0)] + 1))
         size += step
     # first V bytes, within a group
     cls = dense(group, *(key(starts, k) for k in range(V // 8)))
@@ -343,10 +363,10 @@ def sort_block(text: np.ndarray, starts: np.ndarray, group: np.ndarray, length:
         done = side == 0
         repeated[live[done & (equal > 1)]] = True
         live, seg, side = live[~done], seg[~done], side[~done]
-        split = np.lexsort((side, seg))
-        live, seg, side = live[split], seg[split], side[split]
-        cls = cls.copy()
-        cls[live] = seg * 2 + (side > 0)
+        parts = seg * 2 + (side > 0)
+        split = np.argsort(parts)
+        live = live[split]
+        cls[live] = parts[split]
     out = np.zeros(len(starts), bool)
     out[order] = repeated
     return out
