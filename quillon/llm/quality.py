@@ -9,9 +9,10 @@ Texts that fail the base rules train nothing. Junk that passes them would still
 trained in turn: each but the first leaves out what the one before put further than TRIM spreads outside the quartiles of
 its language. Left out texts are known by 64-bit hashes, broadcast in blocks. All texts are scored, whatever trained.
 
-1. Counting. Every task sorts the six-grams of its rows a block at a time and emits distinct ones with counts; Spark
+1. Counting, once. Every task sorts the six-grams of its rows a block at a time and emits distinct ones with counts; Spark
    deals them by fold and the last two bytes of their context and sums them. So the grams of a part, and their shorter suffixes
    down to order 3, have all that their counts, contexts and continuations need in that part, whatever its size.
+   For each later model the grams of the left out texts are counted and subtracted.
 2. Training. Counts of counts are summed over the parts for the discounts, and the grams of order 2 (at most 2**16)
    and 1 come to the driver. Then each part computes its probabilities by itself: sorted arrays of grams and of log
    probabilities (fixed point, so that sums do not depend on their order).
@@ -33,7 +34,7 @@ its output names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import batched
 
 import numpy as np
@@ -50,11 +51,15 @@ BITS = 8
 #: Orders up to this one are counted as a whole; those above it in parts.
 LOW = 2
 SCALE = 1 << 20
+SPACES = int.from_bytes(b" " * ORDER)
+#: Bits of a row number beside a six-gram in one sorted value.
+ROW_BITS = 16
 HOLD = 1 << 22
 PART_GRAMS = 1 << 19
 PART_BYTES = 16 << 20
 BLOCK_GRAMS = 1 << 22
 RESIDENT = 4
+GRAMS = "key long, gram long, n long"
 PARTS = "at long, size long, grams binary, counts binary, seen array<long>, pairs array<int>, follows array<long>"
 MODEL = "at long, size long, grams binary, logs binary, lower binary, lower_logs binary"
 WIDTH = 4.0
@@ -72,15 +77,15 @@ SYMBOL = K.lut(lambda b: chr(b) in "#*$%&|<>")
 
 def codes(rows: K.Rows) -> np.ndarray:
     """The six-gram that ends at each byte, the last byte lowest; before a row's start stand spaces."""
-    c = K.LOWER[rows.data].astype(np.int64)
-    out = c.copy()
-    for back in range(1, ORDER):
-        shifted = np.full_like(c, 0x20)
-        shifted[back:] = c[:-back] if back < len(c) else 0x20
-        for j in range(back):  # bytes of the row before do not reach into this one
-            at = rows.bounds[:-1] + j
-            shifted[at[at < rows.bounds[1:]]] = 0x20
-        out |= shifted << (BITS * back)
+    n = len(rows.data)
+    padded = np.full(n + 7, 0x20, np.uint8)
+    padded[7:] = K.LOWER[rows.data]
+    out = np.ndarray(n, ">u8", padded, strides=(1,)).astype(np.int64)  # the eight bytes that end at each byte
+    out &= (1 << (BITS * ORDER)) - 1
+    for j in range(1, ORDER):  # bytes of the row before do not reach into this one
+        at = rows.bounds[:-1] + j - 1
+        at = at[at < rows.bounds[1:]]
+        out[at] = out[at] & ((1 << (BITS * j)) - 1) | SPACES >> (BITS * j) << (BITS * j)
     return out
 
 
@@ -102,19 +107,28 @@ def _key(grams: np.ndarray) -> np.ndarray:
     return (grams >> BITS) & ((1 << (BITS * LOW)) - 1) | (grams >> (BITS * ORDER)) << (BITS * LOW)
 
 
-def fold_of(rows: K.Rows) -> np.ndarray:
+class Words:
+    """The words of a block of rows: their places, the first word of each row, hashes, and the sums that spans are hashed from."""
+
+    def __init__(self, rows: K.Rows):
+        self.rows, self.hashes = rows, K.prefix(rows.data)
+        self.starts, ends = K.runs(K.NOT_SPACE[rows.data], rows.bounds)
+        self.bounds = K.row_of(self.starts, rows.bounds)
+        self.each = K.span_hash(self.hashes, self.starts, ends)
+
+
+def fold_of(words: Words) -> np.ndarray:
     """0 or 1 for each row, by the least hash of its windows of words; fewer words than a window give all rows one fold."""
-    starts, ends = K.runs(K.NOT_SPACE[rows.data], rows.bounds)
-    at, row = K.within(K.row_of(starts, rows.bounds), FOLD_WORDS)
-    least = np.full(rows.n, 2**64 - 1, np.uint64)
+    at, row = K.within(words.bounds, FOLD_WORDS)
+    least = np.full(words.rows.n, 2**64 - 1, np.uint64)
     if len(at):
-        np.minimum.at(least, row, K.windows(K.span_hash(K.prefix(rows.data), starts, ends), FOLD_WORDS)[at])
+        np.minimum.at(least, row, K.windows(words.each, FOLD_WORDS)[at])
     return (K.mix(least) & np.uint64(1)).astype(np.int64)
 
 
-def marks(rows: K.Rows) -> np.ndarray:
+def marks(rows: K.Rows, hashes: np.ndarray) -> np.ndarray:
     """A hash of each row's text."""
-    return K.span_hash(K.prefix(rows.data), rows.bounds[:-1], rows.bounds[1:]).view(np.int64)
+    return K.span_hash(hashes, rows.bounds[:-1], rows.bounds[1:]).view(np.int64)
 
 
 def levels(grams: np.ndarray, counts: np.ndarray, lowest: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -131,25 +145,8 @@ def counts_of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
 
 
-def count_ngrams(docs: DataFrame, text_col: str = "text", folds: bool = False, left_out: list[Broadcast] | None = None) -> DataFrame:
-    """PARTS: the six-grams of all documents with their counts, each part with all grams of its keys.
-
-    With folds, of the documents that pass the base rules and are not left out, and each fold has its own parts.
-    """
-
-    def trained(rows: K.Rows) -> K.Rows:
-        take = ~base_failed(base_stats(rows))
-        own = marks(rows)
-        for block in left_out or []:
-            take &= ~_has(block.value, own)
-            _let_go(block, len(left_out or []))
-        return K.pick(rows, take)
-
-    def grams_of(rows: K.Rows) -> np.ndarray:
-        if not folds:
-            return codes(rows)
-        rows = trained(rows)
-        return codes(rows) | np.repeat(fold_of(rows), np.diff(rows.bounds)) << (BITS * ORDER)
+def _grams(docs: DataFrame, text_col: str, grams_of: Callable[[K.Rows], np.ndarray], sign: int = 1) -> DataFrame:
+    """(key, gram, n): the grams of each task's rows, n times sign."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -158,11 +155,6 @@ def count_ngrams(docs: DataFrame, text_col: str = "text", folds: bool = False, l
         def merged() -> tuple[np.ndarray, np.ndarray]:
             return tally(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-        def out(grams: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(grams), 1 << 16):
-                g = grams[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(_key(g)), pa.array(g), pa.array(n[i : i + (1 << 16)])], ["key", "gram", "n"])
-
         for batch in batches:
             for rows in K.blocks(batch.column(0)):
                 held.append(tally(grams_of(rows)))
@@ -171,10 +163,23 @@ def count_ngrams(docs: DataFrame, text_col: str = "text", folds: bool = False, l
                     held = [merged()]
                     size = len(held[0][0])
                     if size > HOLD // 2:
-                        yield from out(*held[0])
+                        yield from _gram_rows(held[0][0], sign * held[0][1])
                         held, size = [], 0
         if held:
-            yield from out(*merged())
+            grams, n = merged()
+            yield from _gram_rows(grams, sign * n)
+
+    return docs.select(text_col).mapInArrow(of, GRAMS)
+
+
+def _gram_rows(grams: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(grams), 1 << 16):
+        g = grams[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(_key(g)), pa.array(g), pa.array(n[i : i + (1 << 16)])], ["key", "gram", "n"])
+
+
+def _gathered(grams: DataFrame, n_parts: int) -> DataFrame:
+    """PARTS from GRAMS; grams whose counts sum to 0 go."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches]
@@ -182,6 +187,7 @@ def count_ngrams(docs: DataFrame, text_col: str = "text", folds: bool = False, l
             return
         grams, n = tally(*(np.concatenate(x) for x in zip(*held, strict=True)))
         del held
+        grams, n = grams[n > 0], n[n > 0]
         order = np.argsort(_key(grams), kind="stable")
         grams, n, key = grams[order], n[order], _key(grams)[order]
         edges = np.flatnonzero(key[1:] != key[:-1]) + 1
@@ -199,9 +205,54 @@ def count_ngrams(docs: DataFrame, text_col: str = "text", folds: bool = False, l
             yield pa.RecordBatch.from_pylist([row], pa.schema([("at", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("seen", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int32())), ("follows", pa.list_(pa.int64()))]))
             at = to
 
+    return grams.repartition(n_parts, "key").mapInArrow(gather, PARTS)
+
+
+def _n_parts(docs: DataFrame, text_col: str) -> int:
     whole = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_parts = int(min(1 << (BITS * LOW), whole // PART_BYTES + 1))
-    return docs.select(text_col).mapInArrow(of, "key long, gram long, n long").repartition(n_parts, "key").mapInArrow(gather, PARTS)
+    return int(min(1 << (BITS * LOW), whole // PART_BYTES + 1))
+
+
+def _with_fold(words: Words) -> np.ndarray:
+    """The six-grams of the rows, with the row's fold above them."""
+    return codes(words.rows) | np.repeat(fold_of(words), np.diff(words.rows.bounds)) << (BITS * ORDER)
+
+
+def count_ngrams(docs: DataFrame, text_col: str = "text", folds: bool = False, n_parts: int | None = None) -> DataFrame:
+    """PARTS: the six-grams of all documents with their counts, each part with all grams of its keys.
+
+    With folds, of the documents that pass the base rules, and each fold has its own parts.
+    """
+
+    def passing(rows: K.Rows) -> np.ndarray:
+        words = Words(rows)
+        grams = _with_fold(words)
+        return grams[np.repeat(~base_failed(word_stats(words)), np.diff(rows.bounds))]
+
+    return _gathered(_grams(docs, text_col, passing if folds else codes), n_parts or _n_parts(docs, text_col))
+
+
+def leave_out(parts: DataFrame, docs: DataFrame, left_out: list[Broadcast], text_col: str, n_parts: int) -> DataFrame:
+    """PARTS with folds less the grams of the documents whose hashes are left out; all of those pass the base rules, so parts hold them."""
+
+    def left(rows: K.Rows) -> np.ndarray:
+        own = marks(rows, K.prefix(rows.data))
+        take = np.zeros(rows.n, bool)
+        for block in left_out:
+            take |= _has(block.value, own)
+            _let_go(block, len(left_out))
+        return _with_fold(Words(K.pick(rows, take)))
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                fold = row["at"] >> (BITS * LOW) << (BITS * ORDER)
+                yield from _gram_rows(np.frombuffer(row["grams"], np.int64) | fold, np.frombuffer(row["counts"], np.int64))
+
+    if not left_out:
+        return parts
+    counted = parts.select("at", "grams", "counts").mapInArrow(unfold, GRAMS)
+    return _gathered(counted.unionByName(_grams(docs, text_col, left, -1)), n_parts)
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
@@ -353,21 +404,31 @@ def _back_off(grams: np.ndarray, value: np.ndarray, known: np.ndarray, logs: np.
     return value
 
 
+def _pieces(rows: K.Rows) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose numbers have ROW_BITS bits."""
+    for at in range(0, rows.n, 1 << ROW_BITS):
+        yield at, min(rows.n, at + (1 << ROW_BITS))
+
+
 def _log_sums(group: list[K.Rows], model: Model) -> list[np.ndarray]:
-    """Sums of the log probabilities of each row's grams, by block of rows."""
+    """Sums of the log probabilities of each row's grams, by block of rows. Grams are sorted with their rows' numbers below them."""
     found = []
     for rows in group:
         c = codes(rows)
-        order = np.argsort(c)
-        grams = c[order]
-        first = np.concatenate((np.ones(min(1, len(c)), bool), grams[1:] != grams[:-1]))
-        which = np.empty(len(c), np.int32)
-        which[order] = np.cumsum(first) - 1
-        grams = grams[first]
-        found.append((grams, which, model.pairs[grams & ((1 << (BITS * LOW)) - 1)], _key(grams)))
+        for begin, end in _pieces(rows):
+            bounds = rows.bounds[begin : end + 1]
+            both = c[bounds[0] : bounds[-1]].view(np.uint64) << np.uint64(ROW_BITS)
+            both |= np.repeat(np.arange(end - begin, dtype=np.uint64), np.diff(bounds))
+            both.sort()
+            grams = (both >> np.uint64(ROW_BITS)).view(np.int64)
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(grams)), bool), grams[1:] != grams[:-1])))
+            times = np.diff(np.append(first, len(grams)))
+            grams = grams[first]
+            row = (both & np.uint64((1 << ROW_BITS) - 1)).astype(np.uint16)
+            found.append((grams, times, row, model.pairs[grams & ((1 << (BITS * LOW)) - 1)], _key(grams)))
     for block, (holds, lower) in zip(model, model.lower, strict=True):
         known, logs = block.value
-        for grams, _, value, key in found:
+        for grams, _, _, value, key in found:
             own = np.flatnonzero(holds[key])
             at, there = _place(known, grams[own])
             value[own[there]] = logs[at[there]]
@@ -375,15 +436,23 @@ def _log_sums(group: list[K.Rows], model: Model) -> list[np.ndarray]:
             value[lacks] = _back_off(grams[lacks], value[lacks], *lower.value)
         _let_go(block, len(model))
         _let_go(lower, len(model))
-    return [K.sums(value[which], rows.bounds) for rows, (_, which, value, _) in zip(group, found, strict=True)]
+    each = iter(found)
+    out = []
+    for rows in group:
+        sums = [np.empty(0, np.int64)]
+        for begin, end in _pieces(rows):
+            _, times, row, value, _ = next(each)
+            sums.append(np.bincount(row, np.repeat(value, times), end - begin).astype(np.int64))  # whole numbers, far below 2**53
+        out.append(np.concatenate(sums))
+    return out
 
 
-def _held_out_sums(group: list[K.Rows], models: tuple[Model, Model]) -> list[np.ndarray]:
-    """Sums of the log probabilities of each row's grams, by the model of its fold."""
-    out = [np.zeros(rows.n, np.int64) for rows in group]
-    folds = [fold_of(rows) for rows in group]
+def _held_out_sums(group: list[Words], models: tuple[Model, Model], wanted: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of the log probabilities of each wanted row's grams, by the model of its fold; 0 for other rows."""
+    out = [np.zeros(words.rows.n, np.int64) for words in group]
+    folds = [np.where(want, fold_of(words), -1) for words, want in zip(group, wanted, strict=True)]
     for i, model in enumerate(models):
-        part = [K.pick(rows, fold == i) for rows, fold in zip(group, folds, strict=True)]
+        part = [K.pick(words.rows, fold == i) for words, fold in zip(group, folds, strict=True)]
         for x, fold, got in zip(out, folds, _log_sums(part, model), strict=True):
             x[fold == i] = got
     return out
@@ -393,73 +462,69 @@ def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
     return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
-def base_stats(rows: K.Rows) -> dict[str, np.ndarray]:
+def word_stats(words: Words) -> dict[str, np.ndarray]:
+    """What base_failed needs, for each row."""
+    at, row = K.within(words.bounds, 3)
+    grams = K.windows(words.each, 3)
+    grams = K.mix(grams[at] + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at = at[_repeated(grams)]
+    covered = np.zeros(len(words.starts) + 3, bool)
+    for j in range(3):
+        covered[at + j] = True
+    return {"n_words": np.diff(words.bounds), "n_repeat_words": K.sums(covered[: len(words.starts)], words.bounds)}
+
+
+def base_stats(words: Words) -> dict[str, np.ndarray]:
     """The counts of the base rules for each row."""
-    data, bounds = rows.data, rows.bounds
+    data, bounds = words.rows.data, words.rows.bounds
     word_byte = K.NOT_SPACE[data]
-    starts, ends = K.runs(word_byte, bounds)
-    wb = K.row_of(starts, bounds)
-    n_words = np.diff(wb)
-    hashes = K.prefix(data)
-    at, row = K.within(wb, 3)
-    grams = K.windows(K.span_hash(hashes, starts, ends), 3)
-    grams = K.mix(grams[at] + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    repeat = _repeated(grams)
-    covered = np.zeros(len(starts) + 1, np.int32)
-    np.add.at(covered, at[repeat], 1)
-    np.add.at(covered, np.minimum(at[repeat] + 3, len(starts)), -1)
     line_starts, line_ends = K.runs(data != 10, bounds)
     has_word = np.concatenate(([0], np.cumsum(word_byte)))
     real = has_word[line_ends] > has_word[line_starts]
     line_starts, line_ends = line_starts[real], line_ends[real]
-    lines = K.span_hash(hashes, line_starts, line_ends)
+    lines = K.span_hash(words.hashes, line_starts, line_ends)
     line_row = np.searchsorted(bounds, line_starts, "right") - 1
     lines = K.mix(lines + line_row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(lines, kind="stable")
     again = np.zeros(len(lines), bool)
     again[order[1:]] = lines[order[1:]] == lines[order[:-1]]
-    return {
-        "n_words": n_words,
+    return word_stats(words) | {
         "word_chars": K.sums(word_byte & ((data & 0xC0) != 0x80), bounds),
         "n_symbols": K.sums(SYMBOL[data], bounds),
-        "n_dup_lines": np.bincount(line_row[again], minlength=rows.n).astype(np.int64),
-        "n_repeat_words": K.sums(np.cumsum(covered[:-1]) > 0, wb),
+        "n_dup_lines": np.bincount(line_row[again], minlength=words.rows.n).astype(np.int64),
     }
 
 
 def _repeated(h: np.ndarray) -> np.ndarray:
     """True where a value occurs twice or more."""
-    order = np.argsort(h, kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
+    order = np.argsort(h)
+    h = h[order]
+    same = h[1:] == h[:-1]
     out = np.zeros(len(h), bool)
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out
 
 
-def score(docs: DataFrame, model: Model | tuple[Model, Model], keep: list[str], text_col: str = "text", mark: bool = False) -> DataFrame:
-    """Columns keep of docs, with the base counts, base_failed and log_ppl, by one model or by that of each fold; with mark, the texts' hashes as _mark."""
-    stats = STATS + ", _mark long" * mark
-    names = [x.split()[0] for x in stats.split(", ")]
+def score(docs: DataFrame, model: Model | tuple[Model, Model], keep: list[str], text_col: str = "text") -> DataFrame:
+    """Columns keep of docs, with the base counts, base_failed and log_ppl, by one model or by that of each fold."""
+    names = [x.split()[0] for x in STATS.split(", ")]
     docs = docs.select(*[c for c in keep if c not in names], docs[text_col].alias("_text"))
     kept = docs.columns[:-1]
     schema = docs.drop("_text").schema
-    for x in stats.split(", "):
+    for x in STATS.split(", "):
         schema = schema.add(*x.split())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, list[np.ndarray]] = {c: [] for c in names}
-            two = isinstance(model, tuple)
-            for group in batched(K.blocks(batch.column(len(kept))), 1 if max(map(len, model if two else [model])) <= RESIDENT else 16):
-                for rows, logs in zip(group, _held_out_sums(group, model) if two else _log_sums(group, model), strict=True):
-                    s = base_stats(rows)
-                    words = s["n_words"]
+            for group in batched(K.blocks(batch.column(len(kept))), _group(model)):
+                read = [Words(rows) for rows in group]
+                sums = _held_out_sums(read, model, [np.ones(w.rows.n, bool) for w in read]) if isinstance(model, tuple) else _log_sums(list(group), model)
+                for words, logs in zip(read, sums, strict=True):
+                    s = base_stats(words)
                     s["base_failed"] = base_failed(s)
-                    if mark:
-                        s["_mark"] = marks(rows)
-                    with np.errstate(all="ignore"):
-                        s["log_ppl"] = np.round(np.where(words > 0, -logs / SCALE / np.diff(rows.bounds), np.nan), 9)
+                    s["log_ppl"] = _per_byte(words, logs)
                     for c in names:
                         found[c].append(s[c])
             cols = [np.concatenate(found[c]) if found[c] else np.empty(0) for c in names]
@@ -469,9 +534,39 @@ def score(docs: DataFrame, model: Model | tuple[Model, Model], keep: list[str],
     return docs.mapInArrow(of, schema)
 
 
+def _group(model: Model | tuple[Model, Model]) -> int:
+    """Blocks of rows that read a model together: more than one where its blocks are not all held."""
+    return 1 if max(map(len, model if isinstance(model, tuple) else [model])) <= RESIDENT else 16
+
+
+def _per_byte(words: Words, logs: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return np.round(np.where(np.diff(words.bounds) > 0, -logs / SCALE / np.diff(words.rows.bounds), np.nan), 9)
+
+
+def score_passing(docs: DataFrame, models: tuple[Model, Model], lang_col: str, text_col: str) -> DataFrame:
+    """(_lang_of, log_ppl, _mark) of the documents that pass the base rules: language, score by the model of the fold, hash of the text."""
+    docs = docs.select(F.col(lang_col).alias("_lang_of"), F.col(text_col).alias("_text"))
+    schema = docs.drop("_text").schema.add("log_ppl", "double").add("_mark", "long")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in batched(K.blocks(batch.column(1)), _group(models)):
+                read = [Words(rows) for rows in group]
+                passing = [~base_failed(word_stats(words)) for words in read]
+                for words, want, logs in zip(read, passing, _held_out_sums(read, models, passing), strict=True):
+                    at = np.flatnonzero(want)
+                    lang = batch.column(0).slice(words.rows.first, words.rows.n).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([lang, pa.array(_per_byte(words, logs)[at]), pa.array(marks(words.rows, words.hashes)[at])], ["_lang_of", "log_ppl", "_mark"])
+
+    return docs.mapInArrow(of, schema)
+
+
 def bands(scored: DataFrame, lang_col: str = "lang", width: float = WIDTH, floor: float = FLOOR, least: int = LEAST) -> DataFrame:
     """(lang, low, high) of log perplexity, for languages with enough documents that pass the base rules."""
-    bins = scored.where("NOT base_failed AND log_ppl IS NOT NULL").groupBy(F.col(lang_col).alias("_lang"), F.floor(F.col("log_ppl") * 1000).alias("bin")).count()
+    if "base_failed" in scored.columns:
+        scored = scored.where("NOT base_failed")
+    bins = scored.where("log_ppl IS NOT NULL").groupBy(F.col(lang_col).alias("_lang"), F.floor(F.col("log_ppl") * 1000).alias("bin")).count()
     w = Window.partitionBy("_lang").orderBy("bin")
     up = bins.withColumn("upto", F.sum("count").over(w)).withColumn("all", F.sum("count").over(Window.partitionBy("_lang")))
     q = lambda p: F.min(F.when(F.col("upto") >= F.col("all") * p, F.col("bin"))) / 1000
@@ -497,9 +592,8 @@ def _share_marks(found: DataFrame) -> list[Broadcast]:
     return [found.sparkSession.sparkContext.broadcast(np.sort(x)) for x in each if len(x)]
 
 
-def held_out_models(docs: DataFrame, left_out: list[Broadcast], text_col: str = "text") -> tuple[Model, Model]:
+def held_out_models(parts: DataFrame) -> tuple[Model, Model]:
     """For each fold the model of the other one."""
-    parts = stash(count_ngrams(docs, text_col, True, left_out), "grams")
     zero, one = (share(stash(train(parts.where(F.shiftright("at", BITS * LOW) == 1 - fold)), "model")) for fold in (0, 1))
     return zero, one
 
@@ -508,15 +602,20 @@ def with_quality(docs: DataFrame, keep: list[str] | None = None, text_col: str =
     """docs (or their columns keep) with the base counts, log_ppl, the band's low and high, and kept."""
     keep = docs.columns if keep is None else keep
     both = list(dict.fromkeys([*keep, lang_col]))
-    left_out: list[Broadcast] = []
+    n_parts = _n_parts(docs, text_col)
+    counted = stash(count_ngrams(docs, text_col, True, n_parts), "grams")
+    models = held_out_models(counted)
     for _ in range(ROUNDS - 1):
-        models = held_out_models(docs, left_out, text_col)
-        rough = stash(score(docs, models, [lang_col], text_col, mark=True), "rough")
-        near = _banded(rough, stash(bands(rough, lang_col, TRIM, 0.0), "bands"), lang_col)
-        for x in (*left_out, *models):
-            x.drop() if isinstance(x, Model) else x.destroy()
-        left_out = _share_marks(near.where("NOT base_failed AND NOT inside"))
-    scored = stash(score(docs, held_out_models(docs, left_out, text_col), both, text_col), "quality")
+        rough = stash(score_passing(docs, models, lang_col, text_col), "rough")
+        near = _banded(rough, stash(bands(rough, "_lang_of", TRIM, 0.0), "bands"), "_lang_of")
+        left_out = _share_marks(near.where("NOT inside"))
+        for x in models:
+            x.drop()
+        parts = leave_out(counted, docs, left_out, text_col, n_parts)
+        models = held_out_models(stash(parts, "grams") if left_out else counted)
+        for x in left_out:
+            x.destroy()
+    scored = stash(score(docs, models, both, text_col), "quality")
     band = stash(bands(scored, lang_col, width), "bands")
     out = _banded(scored, band, lang_col)
     out = out.withColumn("kept", ~F.col("base_failed") & F.col("inside")).drop("inside")
