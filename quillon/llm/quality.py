@@ -9,8 +9,8 @@ Texts that fail the base rules train nothing. Junk that passes them would still
 trained in turn: each but the first leaves out what the one before put further than TRIM spreads outside the quartiles of
 its language. Left out texts are known by 64-bit hashes, broadcast in blocks. All texts are scored, whatever trained.
 
-1. Counting, once. Every task sorts the six-grams of its rows a block at a time and emits distinct ones with counts; Spark
-   deals them by fold and the last two bytes of their context and sums them. So the grams of a part, and their shorter suffixes
+1. Counting, once. Every task sorts the six-grams of its rows a block at a time and emits distinct ones with counts,
+   packed into one row for each bucket of keys (fold and last two bytes of the context); Spark deals the buckets out. So the grams of a part, and their shorter suffixes
    down to order 3, have all that their counts, contexts and continuations need in that part, whatever its size.
    For each later model the grams of the left out texts are counted and subtracted.
 2. Training. Counts of counts are summed over the parts for the discounts, and the grams of order 2 (at most 2**16)
@@ -59,7 +59,7 @@ PART_GRAMS = 1 << 19
 PART_BYTES = 16 << 20
 BLOCK_GRAMS = 1 << 22
 RESIDENT = 4
-GRAMS = "key long, gram long, n long"
+GRAMS = "bucket int, grams binary, counts binary"
 PARTS = "at long, size long, grams binary, counts binary, seen array<long>, pairs array<int>, follows array<long>"
 MODEL = "at long, size long, grams binary, logs binary, lower binary, lower_logs binary"
 WIDTH = 4.0
@@ -112,7 +112,8 @@ class Words:
 
     def __init__(self, rows: K.Rows):
         self.rows, self.hashes = rows, K.prefix(rows.data)
-        self.starts, ends = K.runs(K.NOT_SPACE[rows.data], rows.bounds)
+        self.bytes = K.NOT_SPACE[rows.data]
+        self.starts, ends = K.runs(self.bytes, rows.bounds)
         self.bounds = K.row_of(self.starts, rows.bounds)
         self.each = K.span_hash(self.hashes, self.starts, ends)
 
@@ -145,8 +146,8 @@ def counts_of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
 
 
-def _grams(docs: DataFrame, text_col: str, grams_of: Callable[[K.Rows], np.ndarray], sign: int = 1) -> DataFrame:
-    """(key, gram, n): the grams of each task's rows, n times sign."""
+def _grams(docs: DataFrame, text_col: str, grams_of: Callable[[K.Rows], np.ndarray], n_parts: int, sign: int = 1) -> DataFrame:
+    """GRAMS: the grams of each task's rows, n times sign."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -163,26 +164,33 @@ def _grams(docs: DataFrame, text_col: str, grams_of: Callable[[K.Rows], np.ndarr
                     held = [merged()]
                     size = len(held[0][0])
                     if size > HOLD // 2:
-                        yield from _gram_rows(held[0][0], sign * held[0][1])
+                        yield from _gram_rows(held[0][0], sign * held[0][1], _buckets(n_parts))
                         held, size = [], 0
         if held:
             grams, n = merged()
-            yield from _gram_rows(grams, sign * n)
+            yield from _gram_rows(grams, sign * n, _buckets(n_parts))
 
     return docs.select(text_col).mapInArrow(of, GRAMS)
 
 
-def _gram_rows(grams: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(grams), 1 << 16):
-        g = grams[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(_key(g)), pa.array(g), pa.array(n[i : i + (1 << 16)])], ["key", "gram", "n"])
+def _gram_rows(grams: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """GRAMS: grams and counts packed by bucket; a key is in one bucket."""
+    own = (K.mix(_key(grams).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(own)
+    own, grams, n = own[order], grams[order], n[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1])))
+    edges = np.append(first, len(own))
+    for i in range(0, len(first), 1 << 12):
+        cuts = [slice(x, y) for x, y in zip(edges[i : i + (1 << 12)], edges[i + 1 : i + 1 + (1 << 12)], strict=False)]
+        packed = [pa.array([values[x].tobytes() for x in cuts], pa.binary()) for values in (grams, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(own[first[i : i + (1 << 12)]]), *packed], ["bucket", "grams", "counts"])
 
 
 def _gathered(grams: DataFrame, n_parts: int) -> DataFrame:
     """PARTS from GRAMS; grams whose counts sum to 0 go."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches]
+        held = [(np.frombuffer(g.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)) for b in batches for g, n in zip(b.column("grams"), b.column("counts"), strict=True)]
         if not sum(len(g) for g, _ in held):
             return
         grams, n = tally(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -205,7 +213,12 @@ def _gathered(grams: DataFrame, n_parts: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([row], pa.schema([("at", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("seen", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int32())), ("follows", pa.list_(pa.int64()))]))
             at = to
 
-    return grams.repartition(n_parts, "key").mapInArrow(gather, PARTS)
+    return grams.repartition(n_parts, "bucket").mapInArrow(gather, PARTS)
+
+
+def _buckets(n_parts: int) -> int:
+    """Several buckets a part, so that parts come out even."""
+    return min(1 << (BITS * LOW), 8 * n_parts)
 
 
 def _n_parts(docs: DataFrame, text_col: str) -> int:
@@ -229,7 +242,8 @@ def count_ngrams(docs: DataFrame, text_col: str = "text", folds: bool = False, n
         grams = _with_fold(words)
         return grams[np.repeat(~base_failed(word_stats(words)), np.diff(rows.bounds))]
 
-    return _gathered(_grams(docs, text_col, passing if folds else codes), n_parts or _n_parts(docs, text_col))
+    n_parts = n_parts or _n_parts(docs, text_col)
+    return _gathered(_grams(docs, text_col, passing if folds else codes, n_parts), n_parts)
 
 
 def leave_out(parts: DataFrame, docs: DataFrame, left_out: list[Broadcast], text_col: str, n_parts: int) -> DataFrame:
@@ -247,12 +261,12 @@ def leave_out(parts: DataFrame, docs: DataFrame, left_out: list[Broadcast], text
         for batch in batches:
             for row in batch.to_pylist():
                 fold = row["at"] >> (BITS * LOW) << (BITS * ORDER)
-                yield from _gram_rows(np.frombuffer(row["grams"], np.int64) | fold, np.frombuffer(row["counts"], np.int64))
+                yield from _gram_rows(np.frombuffer(row["grams"], np.int64) | fold, np.frombuffer(row["counts"], np.int64), _buckets(n_parts))
 
     if not left_out:
         return parts
     counted = parts.select("at", "grams", "counts").mapInArrow(unfold, GRAMS)
-    return _gathered(counted.unionByName(_grams(docs, text_col, left, -1)), n_parts)
+    return _gathered(counted.unionByName(_grams(docs, text_col, left, n_parts, -1)), n_parts)
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
@@ -462,6 +476,11 @@ def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
     return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
+def _count(member: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Members of each row."""
+    return np.diff(K.row_of(np.flatnonzero(member), bounds))
+
+
 def word_stats(words: Words) -> dict[str, np.ndarray]:
     """What base_failed needs, for each row."""
     at, row = K.within(words.bounds, 3)
@@ -471,16 +490,14 @@ def word_stats(words: Words) -> dict[str, np.ndarray]:
     covered = np.zeros(len(words.starts) + 3, bool)
     for j in range(3):
         covered[at + j] = True
-    return {"n_words": np.diff(words.bounds), "n_repeat_words": K.sums(covered[: len(words.starts)], words.bounds)}
+    return {"n_words": np.diff(words.bounds), "n_repeat_words": _count(covered[: len(words.starts)], words.bounds)}
 
 
 def base_stats(words: Words) -> dict[str, np.ndarray]:
     """The counts of the base rules for each row."""
     data, bounds = words.rows.data, words.rows.bounds
-    word_byte = K.NOT_SPACE[data]
     line_starts, line_ends = K.runs(data != 10, bounds)
-    has_word = np.concatenate(([0], np.cumsum(word_byte)))
-    real = has_word[line_ends] > has_word[line_starts]
+    real = np.searchsorted(words.starts, line_ends) > np.searchsorted(words.starts, line_starts)
     line_starts, line_ends = line_starts[real], line_ends[real]
     lines = K.span_hash(words.hashes, line_starts, line_ends)
     line_row = np.searchsorted(bounds, line_starts, "right") - 1
@@ -489,8 +506,8 @@ def base_stats(words: Words) -> dict[str, np.ndarray]:
     again = np.zeros(len(lines), bool)
     again[order[1:]] = lines[order[1:]] == lines[order[:-1]]
     return word_stats(words) | {
-        "word_chars": K.sums(word_byte & ((data & 0xC0) != 0x80), bounds),
-        "n_symbols": K.sums(SYMBOL[data], bounds),
+        "word_chars": _count(words.bytes & ((data & 0xC0) != 0x80), bounds),
+        "n_symbols": _count(SYMBOL[data], bounds),
         "n_dup_lines": np.bincount(line_row[again], minlength=words.rows.n).astype(np.int64),
     }
 
