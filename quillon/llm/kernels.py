@@ -6,7 +6,8 @@ for a word or a line. A block holds whole rows and about ``block`` bytes; one lo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def light(of: Callable) -> Callable:
+    """of, for mapInArrow; a worker that waits for its next task gives back the memory of the last one: allocators keep it else."""
+
+    def run(batches):
+        yield from of(batches)
+        for name in [x for x, held in _powers.items() if len(held) > BLOCK + 2]:
+            del _powers[name]
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 class Rows:
     """Texts of some rows as one byte array; bounds[i]:bounds[i + 1] is row first + i."""
 
