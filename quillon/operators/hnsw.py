@@ -1,7 +1,7 @@
 """Navigable small-world graphs, one for each shard, as an approximate candidate router.
 
 Spark has no graph traversal, so a shard's graph is built and searched in numpy, inside grouped Arrow stages. A shard is
-a bounded number of vectors (num_shards grows with the corpus), and each shard is a group of its own.
+a bounded number of vectors (num_shards grows with the corpus, see ``shards``), and each shard is a group of its own.
 
 Levels come from a hash of the key (geometric with ratio 1/m), so that a graph does not depend on row order: vectors are
 inserted by key. Search keeps the ef best; ef is at least the number of candidates asked for.
@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import InvalidArgument, ResourceExhausted
+from ..config import ResourceExhausted
 from ..functions.hashing import OFFSET, fnv1a64, shard_of
 from . import flat
 
 MOST = 200_000  # vectors of one graph
-QUERIES = 4096  # queries that walk the graphs at once
+PER_GRAPH = 2500  # vectors of one graph that a walk of some 80 still searches well
+QUERIES = 4096  # queries that walk the graphs in one pass
 
 
 def level_of(key: str, m: int, seed: int) -> int:
@@ -115,6 +116,11 @@ class Graph:
         return self.layer(q, start, max(ef, k), 0)[:k]
 
 
+def shards(table: DataFrame, least: int = 1) -> int:
+    """So many shards that a graph has about PER_GRAPH vectors: the recall of a walk of one width falls as its graph grows."""
+    return max(least, math.ceil(table.count() / PER_GRAPH))
+
+
 EDGES = "shard int, level int, node string, neighbours array<string>"
 
 
@@ -136,32 +142,40 @@ def build(table: DataFrame, num_shards: int, m: int = 16, ef_construction: int =
 
 
 def route(table: DataFrame, edges: DataFrame, queries: DataFrame, num_shards: int, bound: int, ef_search: int = 50) -> DataFrame:
-    """(qid, qv, key, vector): candidates of each shard's graph for each query; at most QUERIES queries."""
-    ids = [(r[0], [float(x) for x in r[1]]) for r in queries.select("qid", "qv").limit(QUERIES + 1).collect()]
-    if len(ids) > QUERIES:
-        raise InvalidArgument(f"more than {QUERIES} queries at once")
-    shared = table.sparkSession.sparkContext.broadcast(ids)
+    """(qid, qv, key, vector): candidates of each shard's graph for each query; a pass for each QUERIES queries."""
     kind = queries.schema["qid"].dataType
     schema = T.StructType([T.StructField("qid", kind), T.StructField("qv", T.ArrayType(T.FloatType())), T.StructField("key", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))])
-
-    def of(points: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(points):
-            points = points.sort_values("key").reset_index(drop=True)
-            number = {k: i for i, k in enumerate(points["key"])}
-            g = Graph.__new__(Graph)
-            g.v = np.nan_to_num(np.array(points["vector"].tolist(), np.float64), nan=0.0)
-            g.links = [{} for _ in range(int(links["level"].max()) + 1)]
-            for level, node, near in zip(links["level"], links["node"], links["neighbours"], strict=True):
-                g.links[level][number[node]] = [number[x] for x in near]
-            g.height = len(g.links) - 1
-            g.entry = min(g.links[-1])
-            for qid, qv in shared.value:
-                rows += [(qid, qv, points["key"][n], list(points["vector"][n])) for _, n in g.search(np.array(qv), bound, ef_search)]
-        return pd.DataFrame(rows, columns=["qid", "qv", "key", "vector"])
-
     placed = table.select("key", "vector", shard_of(F.col("key"), num_shards).alias("shard"))
-    return placed.groupBy("shard").cogroup(edges.groupBy("shard")).applyInPandas(of, schema)
+
+    def one_pass(block: list) -> DataFrame:
+        shared = table.sparkSession.sparkContext.broadcast(([r[0] for r in block], [np.array(r[1], np.float32) for r in block]))
+
+        def of(points: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+            rows = []
+            if len(points):
+                points = points.sort_values("key").reset_index(drop=True)
+                number = {k: i for i, k in enumerate(points["key"])}
+                keys, stored = points["key"].tolist(), points["vector"].tolist()
+                g = Graph.__new__(Graph)
+                g.v = np.nan_to_num(np.array(stored, np.float64), nan=0.0)
+                g.links = [{} for _ in range(int(links["level"].max()) + 1)]
+                for level, node, near in zip(links["level"], links["node"], links["neighbours"], strict=True):
+                    g.links[level][number[node]] = [number[x] for x in near]
+                g.height = len(g.links) - 1
+                g.entry = min(g.links[-1])
+                for qid, qv in zip(*shared.value, strict=True):
+                    rows += [(qid, qv, keys[n], stored[n]) for _, n in g.search(qv.astype(np.float64), bound, ef_search)]
+            return pd.DataFrame(rows, columns=["qid", "qv", "key", "vector"])
+
+        return placed.groupBy("shard").cogroup(edges.groupBy("shard")).applyInPandas(of, schema)
+
+    out, block = None, []
+    for row in queries.select("qid", "qv").toLocalIterator():
+        block.append(row)
+        if len(block) == QUERIES:
+            out = one_pass(block) if out is None else out.unionByName(one_pass(block))
+            block = []
+    return out if out is not None and not block else one_pass(block) if out is None else out.unionByName(one_pass(block))
 
 
 def search(table: DataFrame, edges: DataFrame, queries: DataFrame, num_shards: int, k: int, bound: int | None = None, ef_search: int = 50) -> DataFrame:

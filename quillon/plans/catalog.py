@@ -354,20 +354,22 @@ def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
     return _trained(spark, sf).agg(F.count(F.lit(1)).alias("n_queries"), (F.avg("recall") >= 0.7).alias("holds"))
 
 
-def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates' best K of graphs, two or as many as the vectors need; the graphs are stored and read back."""
     table = vectors(spark, sf).select("key", "vector")
-    return table, hnsw.build(table, 2, 16, 100), vector_queries(spark, sf)
+    n = hnsw.shards(table, 2)
+    at = f"{shared_folder(spark)}/graphs-{uuid.uuid4().hex}"
+    hnsw.build(table, n, 16, 100).write.parquet(at)
+    return hnsw.search(table, spark.read.schema(hnsw.EDGES).parquet(at), vector_queries(spark, sf), n, K, 40, 80)
 
 
 def hnsw_topk(spark: SparkSession, sf: str) -> DataFrame:
-    table, edges, queries = _graph(spark, sf)
-    return _out(hnsw.search(table, edges, queries, 2, K, 40, 80))
+    return _out(_graph(spark, sf))
 
 
 def hnsw_recall(spark: SparkSession, sf: str) -> DataFrame:
     """One row: whether the graphs find on average 0.95 or more of the true neighbours."""
-    table, edges, queries = _graph(spark, sf)
-    found = evaluate.recall(hnsw.search(table, edges, queries, 2, K, 40, 80), flat.search(table, queries, K, 40))
+    found = evaluate.recall(_graph(spark, sf), flat.search(vectors(spark, sf).select("key", "vector"), vector_queries(spark, sf), K, 40))
     return found.agg(F.count(F.lit(1)).alias("n_queries"), (F.avg("recall") >= 0.95).alias("holds"))
 
 

@@ -356,6 +356,20 @@ def test_graphs_refuse_large_shards(spark, monkeypatch):
         hnsw.build(table(spark, unit(30, 4, 1)), 2)
 
 
+def test_graphs_grow_in_number(spark, monkeypatch):
+    assert hnsw.shards(table(spark, unit(30, 4, 1)), 2) == 2
+    monkeypatch.setattr(hnsw, "PER_GRAPH", 10)
+    monkeypatch.setattr(hnsw, "QUERIES", 7)  # several passes
+    v = unit(95, 8, 5)
+    t = table(spark, v)
+    n = hnsw.shards(t, 2)
+    assert n == 10
+    edges = hnsw.build(t, n, 4, 20).cache()
+    assert edges.select("shard").distinct().count() == 10
+    found = hnsw.search(t, edges, queries(spark, v[:20]), n, 10, 10, 20)
+    assert recall(found, truth(v, v[:20], 10)) == 1
+
+
 def test_maintain(spark):
     e = engine(spark, [{"key": str(i), "vector": [1.0, float(i)]} for i in range(20)], dim=2)
     assert not e.maintain()
