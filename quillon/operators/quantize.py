@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from . import flat
 from .topk import top
 
 REFINE = 3  # candidates a result row, before the exact scores
@@ -39,14 +39,16 @@ def with_codes(table: DataFrame, trained: DataFrame, column: str = "vector") ->
     return table.crossJoin(F.broadcast(params(trained))).withColumn("code", encode(F.col(column), F.col("lo"), F.col("step"))).drop("lo", "step")
 
 
-def approximate(coded: DataFrame, queries: DataFrame, trained: DataFrame) -> DataFrame:
-    """coded rows x queries with approx, the dot product of the query with the decoded vector. queries: a checked, small set."""
-    both = coded.crossJoin(F.broadcast(queries)).crossJoin(F.broadcast(params(trained)))
-    return both.withColumn("approx", V.sanitize(V.dot(F.col("qv"), decode(F.col("code"), F.col("lo"), F.col("step"))))).drop("lo", "step")
+def best(coded: DataFrame, queries: DataFrame, trained: DataFrame, k: int) -> DataFrame:
+    """(qid, score, approx, key): of each query the k best by approx, the dot product with the decoded vector; score is that with the vector.
+
+    Blocks of queries against batches of decoded vectors (see flat.route): a task passes on only rows that may be among
+    the best, and no vectors, so pairs are neither sorted nor written.
+    """
+    rows = coded.select("key", F.col("vector").alias("_stored"), "code").crossJoin(F.broadcast(params(trained)))
+    return flat.route(rows.select("key", "_stored", decode(F.col("code"), F.col("lo"), F.col("step")).alias("vector")), queries, k, "_stored")
 
 
 def two_stage(coded: DataFrame, queries: DataFrame, trained: DataFrame, k: int) -> DataFrame:
     """The best REFINE * k by codes, then exact scores from the vectors, cut at k."""
-    near = top(approximate(coded, queries, trained), REFINE * k, ["qid"], "approx", "key", "_c")
-    scored = near.withColumn("score", V.sanitize(V.dot(F.col("vector"), F.col("qv"))))
-    return top(scored, k, ["qid"]).select("qid", "rank", "key", "score")
+    return top(best(coded, queries, trained, REFINE * k), k, ["qid"]).select("qid", "rank", "key", "score")

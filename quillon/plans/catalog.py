@@ -264,7 +264,7 @@ def sq8_encode(spark: SparkSession, sf: str) -> DataFrame:
 def sq8_approx_topk(spark: SparkSession, sf: str) -> DataFrame:
     table = vectors(spark, sf)
     trained = quantize.train(table)
-    near = quantize.approximate(quantize.with_codes(table, trained), vector_queries(spark, sf), trained)
+    near = quantize.best(quantize.with_codes(table, trained), vector_queries(spark, sf), trained, K)
     return _out(top(near.withColumn("score", F.col("approx")), K, ["qid"]))
 
 

@@ -196,6 +196,26 @@ def test_ivf_and_sq8(spark):
         kmeans.initial(t.limit(2), 3)
 
 
+def test_sq8_two_stage_sorts_no_pairs(spark):
+    v = unit(300, 8, 7)
+    v[100:200] = v[100]  # equal scores: by key
+    t, q = table(spark, v), queries(spark, v[[5, 100, 250]])
+    trained = quantize.train(t)
+    coded = quantize.with_codes(t, trained)
+    made = quantize.two_stage(coded, q, trained, 4)
+    assert "vector" not in quantize.best(coded, q, trained, 12).columns
+    lo, step = (np.array([r[c] for r in trained.orderBy("pos").collect()]) for c in ("lo", "step"))
+    w = np.array(v, np.float32).astype(np.float64)
+    decoded = np.floor(np.clip((w - lo) / step, 0, 255) + 0.5) * step + lo
+    dot = lambda a, b: np.cumsum(a * b, 1)[:, -1]
+    got = {(r["qid"], r["rank"]): (r["key"], r["score"]) for r in made.collect()}
+    for i, n in enumerate((5, 100, 250)):
+        a, s = dot(decoded, w[[n]]), dot(w, w[[n]])
+        near = sorted(range(300), key=lambda j: (-a[j], str(j)))[:12]
+        want = sorted(near, key=lambda j: (-s[j], str(j)))[:4]
+        assert [got[i, k + 1] for k in range(4)] == [(str(j), s[j]) for j in want]
+
+
 def test_engine_indexes(spark):
     v = unit(420, 8, 4)
     rows = [{"key": str(i), "vector": x.tolist()} for i, x in enumerate(v)]
