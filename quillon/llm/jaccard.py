@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .store import stash
+from .store import drop, free, stash
 
 N = 3
 PERCENT = 90
@@ -351,22 +351,29 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_tokens: int) -> DataFrame:
-    """(a, b, n) as in _links_batch, for the classes of scanned."""
+    """(a, b, n) as in _links_batch, for the classes of scanned: a stash.
+
+    Tables and shuffle files go as soon as the next table is written: together they are several times the input.
+    """
+    spark = docs.sparkSession
     # short stands for the class here: two classes that share it are only grouped together
     whole = scanned.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(min(1 << 16, 1 + whole // BUCKET_SHINGLES))
     packed = _pack(docs, n, percent, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     rows = stash(packed.mapInArrow(K.light(lambda it: _shared(it, BUCKET_TOKENS)), _ROWS), "tokens")
+    free(spark)
     loose = rows.where("least IS NULL").select("token", "short", "need")
     if not loose.isEmpty():  # of buckets too large to gather: the same by aggregation and join
         least = loose.groupBy("token").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most").select("token", "least")
-        rows = stash(rows.where("least IS NOT NULL").unionByName(loose.distinct().join(least, "token")), "tokens")
+        whole_rows, rows = rows, stash(rows.where("least IS NOT NULL").unionByName(loose.distinct().join(least, "token")), "tokens")
+        drop(whole_rows)
     # a class that shares fewer tokens with others than a link needs is linked with none
     lead = rows.groupBy("short").agg(F.min("least").alias("lead"), F.count(F.lit(1)).alias("hits"), F.max("need").alias("need")).where("hits >= need").drop("hits")
     counts = scanned.where("class IS NOT NULL").groupBy("class", "short", "n_shingles").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("one"))
     led = stash(counts.join(lead, "short"), "led")
     load = led.groupBy("lead").agg(F.ceil(F.greatest(F.sum("n_shingles") / group_tokens, F.count(F.lit(1)) / GROUP_CLASSES)).alias("splits"))
     grouped = stash(led.join(load, "lead").select("class", "short", "docs", "one", "need", F.xxhash64("lead", F.pmod(F.xxhash64("class"), F.col("splits"))).alias("group")), "groups")
+    drop(led)
     # the shingle sets of the classes at hand, from one document of each
     ids = grouped.select(F.col("class").alias("_class"), "group", "docs", F.col("one").alias("_one"))
     texts = docs.select("doc_id", "text").join(_ids(ids), F.col("doc_id").eqNullSafe(F.col("_one"))).select("text", "_class", "group", "docs")
@@ -387,8 +394,10 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
     # the matrix: each group's tokens, with the class and the need that each belongs to
     own_tokens = rows.select("token", "short").join(grouped.select("short", "group", "need"), "short")
     matrix = stash(own_tokens.groupBy("group").agg(F.collect_list(F.struct("token", "short", "need")).alias("tokens")), "matrix")
+    drop(rows)
     gathered = sets.repartition("group").groupBy("group").agg(F.collect_set(F.struct("class", "docs", "set")).alias("members"))
     groups = stash(gathered, "members")
+    free(spark)
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,15 +414,23 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
     # a group's classes are queries to each earlier group whose union has as many of their tokens as a link needs
     union = stash(matrix.select("group", F.array_min("tokens.need").alias("least_need"), F.explode(F.array_distinct("tokens.token")).alias("token")), "unions")
     pairs = union.select("token", "group").join(union.select("token", F.col("group").alias("home"), F.col("least_need").alias("home_need")), "token").where("group < home")
-    pairs = stash(pairs.groupBy("group", "home").agg(F.count(F.lit(1)).alias("common"), F.first("home_need").alias("home_need")).where("common >= home_need").select("group", "home"), "pairs")
-    pairs = pairs.join(matrix.select(F.col("group").alias("home"), F.col("tokens").alias("queries")), "home").join(matrix.select("group", F.col("tokens.token").alias("union")), "group").select("group", "queries", "union")
-    asked = stash(pairs.mapInArrow(K.light(_asked), "short long, group long"), "asked")
-    asked = stash(asked.join(grouped.select("short", F.col("class").alias("query")), "short").select("query", "group"), "asked")
-    share = asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).alias("shares"))
-    asked = asked.join(share, "group").select("query", F.col("group").alias("asked"), F.pmod(F.xxhash64("query"), F.col("shares")).alias("share"))
+    both = stash(pairs.groupBy("group", "home").agg(F.count(F.lit(1)).alias("common"), F.first("home_need").alias("home_need")).where("common >= home_need").select("group", "home"), "pairs")
+    drop(union)
+    pairs = both.join(matrix.select(F.col("group").alias("home"), F.col("tokens").alias("queries")), "home").join(matrix.select("group", F.col("tokens.token").alias("union")), "group").select("group", "queries", "union")
+    short = stash(pairs.mapInArrow(K.light(_asked), "short long, group long"), "asked")
+    drop(matrix)
+    named = stash(short.join(grouped.select("short", F.col("class").alias("query")), "short").select("query", "group"), "asked")
+    share = named.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).alias("shares"))
+    for x in (both, short, grouped):
+        drop(x)
+    asked = named.join(share, "group").select("query", F.col("group").alias("asked"), F.pmod(F.xxhash64("query"), F.col("shares")).alias("share"))
     one = groups.select(F.explode("members").alias("one")).select(F.col("one.class").alias("query"), "one")
-    sent = asked.join(one, "query").groupBy("asked", "share").agg(F.collect_list("one").alias("queries"))
-    return own.unionByName(sent.join(groups, F.col("asked") == F.col("group")).select("queries", "members").mapInArrow(K.light(between), _LINKS))
+    sent = stash(asked.join(one, "query").groupBy("asked", "share").agg(F.collect_list("one").alias("queries")), "sent")
+    free(spark)
+    found = stash(own.unionByName(sent.join(groups, F.col("asked") == F.col("group")).select("queries", "members").mapInArrow(K.light(between), _LINKS)), "links")
+    for x in (sent, named, groups):
+        drop(x)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -443,13 +460,14 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, group_tokens: int = GROUP_TOKENS, with_root: bool = False) -> DataFrame:
     """(doc_id, class, n_shingles, component_id, n_links): a row for each document; class is null for empty sets. root is a class that stands for the component."""
     scanned = stash(_scan(docs, n), "scanned")
-    found = stash(links(docs, scanned, n, percent, group_tokens), "links")
+    found = links(docs, scanned, n, percent, group_tokens)
     roots = components(found.where("b IS NOT NULL"))
     degree = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("far"))
     per = scanned.where("class IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("one"))
     per = per.join(roots.withColumnRenamed("node", "class"), "class", "left").join(degree.withColumnRenamed("a", "class"), "class", "left")
     per = per.withColumn("root", F.coalesce("root", "class"))
     per = stash(per, "roots")
+    drop(found)
     least = per.where("root <> class OR far IS NOT NULL").groupBy("root").agg(F.min("one").alias("component"))
     per = stash(per.join(least, "root", "left").select(F.col("class").alias("_class"), "root", F.coalesce("component", "one").alias("component_id"), (F.col("docs") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")), "classes")
     out = scanned.select("doc_id", "class", "n_shingles").join(per, F.col("class") == F.col("_class"), "left")

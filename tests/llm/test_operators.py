@@ -1,6 +1,7 @@
 """The operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -169,6 +170,22 @@ def test_long_chains(spark):
     assert set(got.values()) == {b"\x00\x00", b"\xff\x01"} and len(got) == 63
 
 
+def test_jaccard_drops_tables(spark, docs_of, monkeypatch):
+    """Tables that nothing reads any more are gone when the result is written."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(30)]
+    rows = [(4 * i + j, " ".join([*b, *["x"] * j])) for i, b in enumerate(base) for j in range(4)]
+    made = []
+    put = jaccard.stash
+    monkeypatch.setattr(jaccard, "stash", lambda df, name="t": made.append(put(df, name)) or made[-1])
+    assert jaccard.keep_one(docs_of(rows), 5, 80).count() == 30
+    names = [x._quillon_at.removeprefix("file://") for x in made]
+    left = {os.path.basename(x).split("-")[0] for x in names if os.path.exists(x)}
+    assert {"tokens", "groups", "matrix", "members", "unions", "pairs", "asked", "links"} <= {os.path.basename(x).split("-")[0] for x in names}
+    assert not left & {"tokens", "led", "groups", "matrix", "members", "unions", "pairs", "asked", "sent", "links"}
+
+
 # -- 3 sharding
 
 
