@@ -62,7 +62,7 @@ def item_windows(items: DataFrame, n: int) -> DataFrame:
                     item += [ids[rows.first + i].as_py()] * len(grams)
                 yield pa.RecordBatch.from_arrays([pa.array(k_, pa.int32()), pa.array(gram, pa.binary()), pa.array(item, pa.string())], ["k", "gram", "item"])
 
-    return items.select(F.col("item_id").cast("string"), "text").mapInArrow(K.light(of), "k int, gram binary, item string")
+    return K.mapped(items.select(F.col("item_id").cast("string"), "text"), of, "k int, gram binary, item string")
 
 
 def _index(grams: list[tuple[int, bytes, str | None]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -126,7 +126,7 @@ def _pass(docs: DataFrame, grams: list[tuple[int, bytes, str | None]]) -> DataFr
             arrow = batch.schema
             yield pa.RecordBatch.from_arrays([pa.array(cols[x], arrow.field(i).type) if x in cols else batch.column(i) for i, x in enumerate(names)], schema=arrow)
 
-    return docs.mapInArrow(K.light(of), schema)
+    return K.mapped(docs, of, schema)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -187,7 +187,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove
             new = pa.array([t.decode("utf-8") if old[i].is_valid else None for i, t in enumerate(texts)], old.type)
             yield pa.RecordBatch.from_arrays([new if k == at[0] else batch.column(k) for k in keep], names)
 
-    return found.mapInArrow(K.light(cut), kept)
+    return K.mapped(found, cut, kept)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,7 @@ QUERIES_AT_ONCE = 256  # of a group
 SMALL = 100_000  # rows of ids that are broadcast, counted first; more are joined by shuffle
 BUCKET_SHINGLES = 1 << 20  # of documents, for a bucket of tokens
 BUCKET_TOKENS = 1 << 22  # that are gathered in a bucket at most
+PACK_TOKENS = 1 << 19  # that a task packs at once
 
 
 def shingle_hashes(rows: K.Rows, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +149,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
                 cols = [pa.array(names, pa.binary()), pa.array([None if x is None else _short(x) for x in names], pa.int64()), pa.array(np.diff(bounds).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.first, rows.n), *cols], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(K.light(of), schema)
+    return K.mapped(docs.select("doc_id", "text"), of, schema)
 
 
 _PACK = "bucket int, tokens binary, shorts binary, needs binary"
@@ -190,13 +191,13 @@ def _pack(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                 h, row, need = tokens(sets[np.repeat(first, count)], np.concatenate(([0], np.cumsum(np.where(first, count, 0)))), percent)
                 held.append((h, names[row], need[row].astype(np.uint8)))
                 size += len(h)
-                if size >= 1 << 20:
+                if size >= PACK_TOKENS:
                     yield blobs(held)
                     held, size = [], 0
         if size:
             yield blobs(held)
 
-    return docs.select("text").mapInArrow(K.light(of), _PACK)
+    return K.mapped(docs.select("text"), of, _PACK)
 
 
 def _shared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -360,7 +361,7 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
     whole = scanned.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(min(1 << 16, 1 + whole // BUCKET_SHINGLES))
     packed = _pack(docs, n, percent, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    rows = stash(packed.mapInArrow(K.light(lambda it: _shared(it, BUCKET_TOKENS)), _ROWS), "tokens")
+    rows = stash(K.mapped(packed, lambda it: _shared(it, BUCKET_TOKENS), _ROWS), "tokens")
     free(spark)
     loose = rows.where("least IS NULL").select("token", "short", "need")
     if not loose.isEmpty():  # of buckets too large to gather: the same by aggregation and join
@@ -390,7 +391,7 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
                 others = [batch.column(k).slice(rows_.first, rows_.n).filter(keep) for k in (1, 2, 3)]
                 yield pa.RecordBatch.from_arrays([*others, pa.array(out, pa.binary())], ["class", "group", "docs", "set"])
 
-    sets = texts.mapInArrow(K.light(sets_of), "class binary, group long, docs long, set binary")
+    sets = K.mapped(texts, sets_of, "class binary, group long, docs long, set binary")
     # the matrix: each group's tokens, with the class and the need that each belongs to
     own_tokens = rows.select("token", "short").join(grouped.select("short", "group", "need"), "short")
     matrix = stash(own_tokens.groupBy("group").agg(F.collect_list(F.struct("token", "short", "need")).alias("tokens")), "matrix")
@@ -410,14 +411,14 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 yield _links_batch(*open_pair(_load(x.as_py()), _load(y.as_py()), percent, False))
 
-    own = groups.where("size(members) > 1").select("members").mapInArrow(K.light(inside), _LINKS)
+    own = K.mapped(groups.where("size(members) > 1").select("members"), inside, _LINKS)
     # a group's classes are queries to each earlier group whose union has as many of their tokens as a link needs
     union = stash(matrix.select("group", F.array_min("tokens.need").alias("least_need"), F.explode(F.array_distinct("tokens.token")).alias("token")), "unions")
     pairs = union.select("token", "group").join(union.select("token", F.col("group").alias("home"), F.col("least_need").alias("home_need")), "token").where("group < home")
     both = stash(pairs.groupBy("group", "home").agg(F.count(F.lit(1)).alias("common"), F.first("home_need").alias("home_need")).where("common >= home_need").select("group", "home"), "pairs")
     drop(union)
     pairs = both.join(matrix.select(F.col("group").alias("home"), F.col("tokens").alias("queries")), "home").join(matrix.select("group", F.col("tokens.token").alias("union")), "group").select("group", "queries", "union")
-    short = stash(pairs.mapInArrow(K.light(_asked), "short long, group long"), "asked")
+    short = stash(K.mapped(pairs, _asked, "short long, group long"), "asked")
     drop(matrix)
     named = stash(short.join(grouped.select("short", F.col("class").alias("query")), "short").select("query", "group"), "asked")
     share = named.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).alias("shares"))
@@ -427,7 +428,7 @@ def links(docs: DataFrame, scanned: DataFrame, n: int, percent: int, group_token
     one = groups.select(F.explode("members").alias("one")).select(F.col("one.class").alias("query"), "one")
     sent = stash(asked.join(one, "query").groupBy("asked", "share").agg(F.collect_list("one").alias("queries")), "sent")
     free(spark)
-    found = stash(own.unionByName(sent.join(groups, F.col("asked") == F.col("group")).select("queries", "members").mapInArrow(K.light(between), _LINKS)), "links")
+    found = stash(own.unionByName(K.mapped(sent.join(groups, F.col("asked") == F.col("group")).select("queries", "members"), between, _LINKS)), "links")
     for x in (sent, named, groups):
         drop(x)
     return found
@@ -485,7 +486,7 @@ def _with_class(docs: DataFrame, n: int) -> DataFrame:
                 names += [class_id(sets[a:b]) if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], [*batch.schema.names, "_quillon_class"])
 
-    return docs.mapInArrow(K.light(of), T.StructType(list(docs.schema)).add("_quillon_class", "binary"))
+    return K.mapped(docs, of, T.StructType(list(docs.schema)).add("_quillon_class", "binary"))
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT, group_tokens: int = GROUP_TOKENS) -> DataFrame:

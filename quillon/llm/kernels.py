@@ -12,8 +12,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 BLOCK = 1 << 20
+BATCH = 1 << 19
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -48,21 +52,38 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: allocators keep it else."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if give:
+        give(0)
+
+
 def light(of: Callable) -> Callable:
-    """of, for mapInArrow; a worker that waits for its next task gives back the memory of the last one: allocators keep it else."""
+    """of, for mapInArrow; a worker that waits for its next task gives back the memory of the last one."""
 
     def run(batches):
         yield from of(batches)
         for name in [x for x, held in _powers.items() if len(held) > BLOCK + 2]:
             del _powers[name]
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
-        if trim:
-            trim(0)
+        trim()
 
     return run
 
 
+def mapped(df: DataFrame, of: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(light(of), schema), in batches of about BATCH bytes; one longer row makes a batch of its own.
+
+    Spark bounds batches by 10,000 rows, however long: whole tasks, which the JVM and the worker then hold several times.
+    The bound is a setting of the session, read when the plan runs, and so stays set; one that is set already is kept.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY, None) is None:
+        conf.set(_BATCH_KEY, str(BATCH))
+    return df.mapInArrow(light(of), schema)
+
+
 class Rows:
     """Texts of some rows as one byte array; bounds[i]:bounds[i + 1] is row first + i."""
 

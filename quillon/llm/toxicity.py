@@ -144,14 +144,17 @@ def train(docs: DataFrame, labels: DataFrame, per: int = PER, label_col: str = "
                 part = [batch.column(k).slice(rows.first, rows.n) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*part, pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], ["doc_id", "y", "words"])
 
-    got = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "_y", "text").mapInArrow(K.light(sets), "doc_id long, y int, words array<bigint>")
+    got = K.mapped(docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "_y", "text"), sets, "doc_id long, y int, words array<bigint>")
     table = got.toArrow().combine_chunks()
     ids = table["doc_id"].to_numpy()
     pick = np.unique(ids, return_index=True)[1]  # one row an id, in the order of ids
     label = table["y"].to_numpy()[pick].astype(np.int64)
     taken = np.bincount(label) if len(label) else np.empty(0)
     weight = np.array([sizes[y] / taken[y] for y in label.tolist()])
-    return fit([table["words"][i].values.to_numpy().view(np.uint64) for i in pick.tolist()], label, weight)
+    model = fit([table["words"][i].values.to_numpy().view(np.uint64) for i in pick.tolist()], label, weight)
+    del table
+    K.trim()  # the driver's
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -186,7 +189,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col
             cols = [pa.array(p.sum(1).round(9)), pa.array(p[:, 0]), pa.array((full[:, :-1] - full[:, 1:]).argmax(1).astype(np.int32)), pa.array(words & (p[:, 0] >= m.cut))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *cols], schema.names)
 
-    return rows_.mapInArrow(K.light(of), schema)
+    return K.mapped(rows_, of, schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

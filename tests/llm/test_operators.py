@@ -657,6 +657,48 @@ def test_kernels_split_rows_alike():
     assert [r.text(i) for r in whole for i in range(r.n)] == [r.text(i) for r in small for i in range(r.n)] == [(t or "").encode() for t in texts]
 
 
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+NO_MODEL = toxicity.Model(np.empty(0, np.uint64), np.empty(0), np.zeros(0), 2.0)
+
+
+@pytest.mark.parametrize("operator", [lambda d: jaccard._scan(d, 3), lambda d: decontaminate.item_windows(d.withColumnRenamed("doc_id", "item_id"), 10), lambda d: toxicity.score(d, NO_MODEL)])
+def test_batches_are_bounded_in_bytes(spark, docs_of, operator):
+    """The JVM and a worker hold a batch several times, so it must not grow with the texts; a smaller bound of the user's stays."""
+    docs = docs_of([(i, f"{i} word " * 300) for i in range(2000)]).coalesce(1).cache()
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["b", "n"])
+
+    spark.conf.unset(BATCH_KEY)
+    try:
+        operator(docs)
+        got = docs.mapInArrow(sizes, "b long, n long").collect()
+        assert max(r["b"] for r in got) <= 1.2 * kernels.BATCH and sum(r["n"] for r in got) == 2000
+        spark.conf.set(BATCH_KEY, "20000")
+        operator(docs)
+        assert spark.conf.get(BATCH_KEY) == "20000"
+    finally:
+        spark.conf.unset(BATCH_KEY)
+        docs.unpersist()
+
+
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op2_jaccard", "op6_toxicity"])
+def test_rows_do_not_depend_on_batches(spark, name):
+    rows = []
+    for most in ("4000", str(256 << 20)):
+        spark.conf.set(BATCH_KEY, most)
+        rows.append(sorted(QUERIES[name][0](spark, SF).collect()))
+    spark.conf.unset(BATCH_KEY)
+    assert rows[0] == rows[1]
+
+
+def test_tokens_are_packed_in_bounded_blobs(docs_of):
+    texts = [(i, " ".join(f"{i}w{j}" for j in range(400))) for i in range(8000)]
+    got = jaccard._pack(docs_of(texts).coalesce(1), 3, 80, 1).collect()
+    assert len(got) > 1 and max(len(r["shorts"]) for r in got) < 8 * 1.5 * jaccard.PACK_TOKENS
+
+
 def test_queries_run(spark):
     for name, (query, _) in QUERIES.items():
         assert query(spark, SF).count() > 0, name
